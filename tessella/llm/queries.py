@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.compression import compression_quality
 from tessella.llm.exact import exact_duplicates
+from tessella.llm.setsketch import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,11 @@ def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_compression_quality)}
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_compression_quality, op8_near_dedup)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """

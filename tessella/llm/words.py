@@ -110,8 +110,8 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.nd
     is_short[at[short]] = True
     out[~is_short] = rolled[keep]
     for i in short:
-        h = _U(int(counts[i]))
-        for w in words[ends[i] - counts[i] : ends[i]]:
-            h = mix(np.array([h * _U(0x9E3779B97F4A7C15) + w], dtype=_U))[0]
-        out[at[i]] = h
+        h = np.full(1, counts[i], dtype=_U)
+        for j in range(ends[i] - counts[i], ends[i]):
+            h = mix(h * _U(0x9E3779B97F4A7C15) + words[j : j + 1])
+        out[at[i]] = h[0]
     return out, out_counts
