@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.compression import compression_quality
+from tessella.llm.curve import pack_along_curve
 from tessella.llm.exact import exact_duplicates
+from tessella.llm.mixing import mix_blocks
 from tessella.llm.setsketch import near_duplicates
+from tessella.llm.tokenstore import write_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_blocks(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_along_curve(_table(spark, sf_dir, "documents"))
+
+
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality(_table(spark, sf_dir, "documents"))
 
@@ -25,7 +40,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_compression_quality, op8_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_token_store, op4_exact_dedup, op6_curve_packing, op7_compression_quality, op8_near_dedup)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
