@@ -10,6 +10,7 @@ from tessella.llm.exact import exact_duplicates
 from tessella.llm.mixing import mix_blocks
 from tessella.llm.setsketch import near_duplicates
 from tessella.llm.tokenstore import write_tokens
+from tessella.llm.warc import distinct_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_blocks(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_tokens(_table(spark, sf_dir, "documents"))
 
@@ -40,9 +45,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_token_store, op4_exact_dedup, op6_curve_packing, op7_compression_quality, op8_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc, op3_token_store, op4_exact_dedup, op6_curve_packing, op7_compression_quality, op8_near_dedup)}
 
 ORACLE_SQL = {
+    "op2_warc": """
+        SELECT page_id, url, sha256(html) AS digest, html FROM (
+          SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id, url) AS at
+          FROM pages WHERE html IS NOT NULL) WHERE at = 1""",
     "op4_exact_dedup": """
         SELECT doc_id, duplicate_of, full_hash FROM (
           SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS duplicate_of, sha256(text) AS full_hash,
