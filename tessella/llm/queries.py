@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.compression import compression_quality
 from tessella.llm.curve import pack_along_curve
 from tessella.llm.exact import exact_duplicates
+from tessella.llm.knlm import perplexities
 from tessella.llm.mixing import mix_blocks
+from tessella.llm.nbsvm import quality_scores
 from tessella.llm.setsketch import near_duplicates
 from tessella.llm.tokenstore import write_tokens
 from tessella.llm.warc import distinct_pages
@@ -45,7 +47,15 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc, op3_token_store, op4_exact_dedup, op6_curve_packing, op7_compression_quality, op8_near_dedup)}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexities(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc, op3_token_store, op4_exact_dedup, op6_curve_packing, op7_compression_quality, op8_near_dedup, op9_lm_scoring, op10_quality_classifier)}
 
 ORACLE_SQL = {
     "op2_warc": """

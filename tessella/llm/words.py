@@ -8,7 +8,7 @@ texts costs a few numpy passes and no Python work per word, and then mixed (spli
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -59,12 +59,29 @@ def _hash_bytes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * inverse[starts]), starts
 
 
-def word_batches(texts: list[str | None], chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def plain(text: str) -> bytes:
+    """Lower-case words, separated by spaces."""
+    return text.lower().encode("utf-8", "replace").translate(_TABLE)
+
+
+_SHAPES = bytes(32 if c in b" \t\n\r\f\v" else 65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+
+
+def shapes(text: str) -> bytes:
+    """The shapes of space-separated tokens: runs of capitals, other letters and digits become
+    one A, a and 0, and punctuation stays."""
+    raw = np.frombuffer(text.encode("utf-8", "replace").translate(_SHAPES), dtype=np.uint8)
+    keep = np.ones(len(raw), dtype=bool)
+    keep[1:] = (raw[1:] != raw[:-1]) | ((raw[1:] != 97) & (raw[1:] != 65) & (raw[1:] != 48))
+    return raw[keep].tobytes()
+
+
+def word_batches(texts: list[str | None], chunk_bytes: int = CHUNK_BYTES, prepare: Callable[[str], bytes] = plain) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (index of the first text, word hashes, words per text) for runs of texts of about
-    ``chunk_bytes`` each.  A null text counts as an empty one; one long text is its own run."""
+    ``chunk_bytes`` each, as ``prepare`` leaves them.  A null text counts as an empty one; one long text is its own run."""
     first, size, parts = 0, 0, []
     for i, text in enumerate(texts):
-        raw = (text or "").lower().encode("utf-8", "replace").translate(_TABLE)
+        raw = prepare(text or "")
         if parts and size + len(raw) > chunk_bytes:
             yield (first, *_run(parts))
             first, size, parts = i, 0, []
