@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.compression import compression_quality
 from tessella.llm.curve import pack_along_curve
 from tessella.llm.exact import exact_duplicates
+from tessella.llm.htmlblocks import extract_text
 from tessella.llm.knlm import perplexities
 from tessella.llm.mixing import mix_blocks
 from tessella.llm.nbsvm import quality_scores
@@ -35,6 +36,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc, op3_token_store, op4_exact_dedup, op6_curve_packing, op7_compression_quality, op8_near_dedup, op9_lm_scoring, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc, op3_token_store, op4_exact_dedup, op5_html_extraction, op6_curve_packing, op7_compression_quality, op8_near_dedup, op9_lm_scoring, op10_quality_classifier)}
 
 ORACLE_SQL = {
     "op2_warc": """

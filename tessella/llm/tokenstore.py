@@ -36,7 +36,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = DI
     rows = pick(docs, "doc_id", "text").where("text <> ''")
     share = min(1.0, training_documents / max(1, rows.count()))
     bound = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
-    texts = [r["text"] for r in rows.where(F.xxhash64("doc_id", "text") <= F.lit(bound)).select("text").toLocalIterator()]
+    texts = [r["text"] for r in rows.where(F.xxhash64("doc_id", "text") <= F.lit(bound)).select("text").collect()]  # bounded by ``training_documents``
     enc = encoder(tokenizer)
     samples = [enc.encode(t).tobytes() for t in sorted(texts)]
     if not samples:
