@@ -118,8 +118,8 @@ def enclosing(inner: DataFrame, outer: DataFrame) -> DataFrame:
     sides = i.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("outer_id"), "_row").unionByName(
         outer.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), F.lit(0).alias("side"), F.col("outer_id").cast("int").alias("outer_id")), allowMissingColumns=True
     )
-    order = F.struct("s", (-F.col("e")).alias("e"), "side", "outer_id", F.monotonically_increasing_id().alias("k"), "_row")
-    group = sides.groupBy("doc_id").agg(F.array_sort(F.collect_list(order), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).when(a["e"] != b["e"], a["e"] - b["e"]).when(a["side"] != b["side"], a["side"] - b["side"]).otherwise(F.signum(a["k"] - b["k"]).cast("int")).cast("int")).alias("all"))
+    order = F.struct("s", (-F.col("e")).alias("e"), "side", "outer_id", "_row")
+    group = sides.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("all"))
     stack_type = "array<struct<e:int,outer_id:int>>"
     out_type = f"array<struct<outer_id:int,row:{i.schema['_row'].dataType.simpleString()}>>"
 
