@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,11 @@ def _number(text: Column) -> Column:
     return (text == "") | text.rlike(NUMBER)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def csv_fields(line: Column, delimiter: Column | str) -> Column:
     """The trimmed fields of a line.  A quote opens or closes anywhere, a doubled one within
     quotes stays, and a delimiter counts only outside of quotes: where an even number of quotes
@@ -78,7 +85,10 @@ def csv_fields(line: Column, delimiter: Column | str) -> Column:
 def _unquoted(part: Column) -> Column:
     """A field without its quotes: each opens or closes, but of two in a row within quotes one
     stays.  The field is folded over the pieces between its quotes."""
-    pieces = F.split(part, '"', -1)
+    return F.when(F.contains(part, F.lit('"')), let(F.split(part, '"', -1), _folded)).otherwise(part)
+
+
+def _folded(pieces: Column) -> Column:
     rest = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda t, i: F.struct(t.alias("t"), (i == F.size(pieces) - 2).alias("last")))
 
     def step(acc, x):
@@ -87,21 +97,27 @@ def _unquoted(part: Column) -> Column:
         return F.struct(F.when(turn, ~acc["open"]).otherwise(acc["open"]).alias("open"), pair.alias("second"), F.concat(acc["out"], F.when(pair, F.lit('"')).otherwise(x["t"])).alias("out"))
 
     start = F.struct(F.lit(False).alias("open"), F.lit(False).alias("second"), F.element_at(pieces, 1).alias("out"))
-    return F.when(F.contains(part, F.lit('"')), F.aggregate(rest, start, step, lambda a: a["out"])).otherwise(part)
+    return F.aggregate(rest, start, step, lambda a: a["out"])
+
+
+def _field_counts(lines: Column, delimiter: str) -> Column:
+    return F.transform(lines, lambda t: F.size(csv_fields(t, delimiter)).cast("double"))
 
 
 def csv_delimiter(lines: Column) -> Column:
     """The delimiter whose field counts over the first ten lines are most even and many."""
-    head = F.slice(lines, 1, 10)
-    best = F.struct(F.lit(0.0).alias("score"), F.lit(",").alias("d"))
-    for d in DELIMITERS:
-        sizes = F.transform(head, lambda t, d=d: F.size(csv_fields(t, d)).cast("double"))
-        n = F.size(head)
-        mean = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x) / n
-        spread = F.aggregate(F.transform(sizes, lambda x, m=mean: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x) / n
-        score = F.when(mean > 1, 1 / (1 + spread)).otherwise(0.0) * F.when((mean >= 2) & (mean <= 50), 1.0).otherwise(0.5) * mean
-        best = F.when(score > best["score"], F.struct(score.alias("score"), F.lit(d).alias("d"))).otherwise(best)
-    return best["d"]
+    def score(sizes: Column) -> Column:
+        def of_mean(mean: Column) -> Column:
+            spread = F.aggregate(F.transform(sizes, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / F.size(sizes)
+            return F.when(mean > 1, 1 / (1 + spread)).otherwise(0.0) * F.when((mean >= 2) & (mean <= 50), 1.0).otherwise(0.5) * mean
+
+        return let(F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x) / F.size(sizes), of_mean)
+
+    def best(head: Column) -> Column:
+        scored = [F.struct(let(_field_counts(head, d), score).alias("score"), F.lit(-i).alias("first"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]
+        return F.array_max(F.array(*scored))["d"]
+
+    return let(F.slice(lines, 1, 10), best)
 
 
 def csv_has_header(rows: Column) -> Column:

@@ -8,7 +8,9 @@ build the tree in Python, in Arrow batches of whole documents.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -212,17 +214,27 @@ def _dump_json(compact: bool):
     return dump
 
 
-def _dump_yaml(tree):
+@lru_cache(maxsize=1)
+def _yaml_dumper():
     import yaml
 
     class Dumper(yaml.SafeDumper):
+        """Lists indented, no references, and the one-letter booleans of old quoted."""
+
         def ignore_aliases(self, data):
             return True
 
         def increase_indent(self, flow=False, indentless=False):
             return super().increase_indent(flow, False)
 
-    return yaml.dump(tree, Dumper=Dumper, sort_keys=False, allow_unicode=True, width=float("inf"))
+    Dumper.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile("^[yYnN]$"), list("yYnN"))
+    return Dumper
+
+
+def _dump_yaml(tree):
+    import yaml
+
+    return yaml.dump(tree, Dumper=_yaml_dumper(), sort_keys=False, allow_unicode=True, width=float("inf"))
 
 
 def json_tree(nodes: DataFrame, compact: bool = False) -> DataFrame:
