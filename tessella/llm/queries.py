@@ -65,11 +65,11 @@ QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_warc, op3_token_store,
 ORACLE_SQL = {
     "op2_warc": """
         SELECT page_id, url, sha256(html) AS digest, html FROM (
-          SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id, url) AS at
-          FROM pages WHERE html IS NOT NULL) WHERE at = 1""",
+          SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id, url) AS rn
+          FROM pages WHERE html IS NOT NULL) WHERE rn = 1""",
     "op4_exact_dedup": """
         SELECT doc_id, duplicate_of, full_hash FROM (
           SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS duplicate_of, sha256(text) AS full_hash,
-                 row_number() OVER (PARTITION BY text ORDER BY doc_id) AS at
-          FROM documents WHERE text IS NOT NULL) WHERE at > 1""",
+                 row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn
+          FROM documents WHERE text IS NOT NULL) WHERE rn > 1""",
 }
