@@ -782,7 +782,7 @@ def _kt_property(s: Scanner, m: re.Match, where: str) -> int:
 
 
 KOTLIN = Language("kotlin", (
-    _rule(rf"{_KT_MODS}(?P<kind>class|interface|object)\s+(?P<name>{ID})\s*(?:{GEN})?", _kt_class),
+    _rule(rf"{_KT_MODS}(?P<kind>class|interface|object)\s+(?P<name>{ID})(?:\s*{GEN})?", _kt_class),
     _rule(rf"{_KT_MODS}fun\s+(?:{GEN}\s*)?(?:[\w.?<>, ]+\.)?(?P<name>{ID})\s*(?=\()", _typed_function(_kt_parameters, _kt_mods, ":")),
     _rule(rf"{_KT_MODS}va[lr]\s+(?:{GEN}\s*)?(?:{ID}\.)?(?P<name>{ID})", _kt_property),
 ), frozenset(("class", "interface", "object")), noise=_rx(r"\"\"\".*?\"\"\"|" + C_NOISE), newline=True)

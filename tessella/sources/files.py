@@ -14,8 +14,8 @@ def extension(path: Column) -> Column:
 def read_documents(spark: SparkSession, paths: str | list[str], recursive: bool = False, extensions: list[str] | None = None) -> DataFrame:
     """(doc_id, path, ext, file_name, content) of whole UTF-8 files.
 
-    ``extensions`` become a glob, so other files aren't even opened; folders whose names start with a
-    dot are skipped.
+    ``extensions`` become a glob, so other files aren't even opened.  Files and folders whose names start
+    with a dot are skipped, which includes bare dot files: they have no extension anyway.
     """
     reader = spark.read.option("recursiveFileLookup", recursive)
     if extensions:
