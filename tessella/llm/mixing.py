@@ -212,7 +212,7 @@ def mix_blocks(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     slots = draw_slots(spark, list(share), [totals[s][0] for s in share], list(share.values()), n_slots, shard_slots, seed)
     before = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     ranges = by_task.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("source", "pid", "first", "n", F.explode(F.sequence(F.expr(f"first div {_SPAN}"), F.expr(f"(first + n - 1) div {_SPAN}"))).alias("span"))
-    named = slots.withColumn("span", F.expr(f"block div {_SPAN}")).join(ranges, ["source", "span"]).where("block >= first and block < first + n").select("shard", "slot", "source", "epoch", "block", "pid", (F.col("block") - F.col("first")).alias("at"))
+    named = slots.withColumn("span", F.expr(f"block div {_SPAN}")).join(ranges.hint("shuffle_hash"), ["source", "span"]).where("block >= first and block < first + n").select("shard", "slot", "source", "epoch", "block", "pid", (F.col("block") - F.col("first")).alias("at"))
     return blocks.join(named.hint("shuffle_hash"), ["source", "pid", "at"]).select(*output)
 
 
