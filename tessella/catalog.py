@@ -148,20 +148,23 @@ def _expected(rows: list[tuple], columns: str = "") -> str:
 
 
 _INI = _corpus("ini", _lines(*map(_quoted, ("; note", "top = {k}", "[part {k}]", "name: {n}", "# skipped", "size=a=b", "[end]", "=nothing", "x:1"))))
-_VALUE = F.get_json_object("metadata", "$.value").alias("value")
-_register("ini_outline", _INI, lambda d: config.ini(d).select(*NODES, _VALUE), _expected([(None, "top", "property", 1, 2, "k"), (None, "part {k}", "section", 1, 3, "NULL"), (1, "name", "property", 2, 4, "n"), (1, "size", "property", 2, 6, "'a=b'"), (None, "end", "section", 1, 7, "NULL"), (4, "x", "property", 2, 9, "'1'")], "value"))
+def _of(key: str, name: str | None = None):
+    """A metadata value as a column."""
+    return F.get_json_object("metadata", f"$.{key}").alias(name or key)
+
+
+
+_register("ini_outline", _INI, lambda d: config.ini(d).select(*NODES, _of("value")), _expected([(None, "top", "property", 1, 2, "k"), (None, "part {k}", "section", 1, 3, "NULL"), (1, "name", "property", 2, 4, "n"), (1, "size", "property", 2, 6, "'a=b'"), (None, "end", "section", 1, 7, "NULL"), (4, "x", "property", 2, 9, "'1'")], "value"))
 _PROPERTIES = _corpus("properties", _lines(*map(_quoted, ("! note", "export key{k}=\"{n}\"", "long = one \\", "  two \\", "# three", "flag: 'on'", "none"))))
-_register("properties_outline", _PROPERTIES, lambda d: config.properties(d).select(*NODES, _VALUE), _expected([(None, "key{k}", "property", 1, 2, "n"), (None, "long", "property", 1, 3, "'one   two # three'"), (None, "flag", "property", 1, 6, "'on'")], "value"))
+_register("properties_outline", _PROPERTIES, lambda d: config.properties(d).select(*NODES, _of("value")), _expected([(None, "key{k}", "property", 1, 2, "n"), (None, "long", "property", 1, 3, "'one   two # three'"), (None, "flag", "property", 1, 6, "'on'")], "value"))
 _TOML = _corpus("toml", _lines(*map(_quoted, ('title = "{n}" # note', "[a]", "key = {k}", "[a.b.c]", "list = [1,", "  2]", "[[d]]", 'in = { x = 1, y = "q" }'))))
-_register("toml_outline", _TOML, lambda d: nested.toml_outline(d).select(*NODES, _VALUE), _expected([(None, "title", "property", 1, 1, "'\"' || n || '\"'"), (None, "a", "section", 1, 2, "NULL"), (1, "key", "property", 2, 3, "k"), (1, "a.b.c", "section", 2, 4, "NULL"), (3, "list", "property", 3, 5, f"'[1,' || {NL} || '  2]'"), (None, "d", "section", 1, 7, "NULL"), (5, "in", "property", 2, 8, "'{ x = 1, y = \"q\" }'"), (6, "x", "property", 3, 8, "'1'"), (6, "y", "property", 3, 8, "'\"q\"'")], "value"))
+_register("toml_outline", _TOML, lambda d: nested.toml_outline(d).select(*NODES, _of("value")), _expected([(None, "title", "property", 1, 1, "'\"' || n || '\"'"), (None, "a", "section", 1, 2, "NULL"), (1, "key", "property", 2, 3, "k"), (1, "a.b.c", "section", 2, 4, "NULL"), (3, "list", "property", 3, 5, f"'[1,' || {NL} || '  2]'"), (None, "d", "section", 1, 7, "NULL"), (5, "in", "property", 2, 8, "'{ x = 1, y = \"q\" }'"), (6, "x", "property", 3, 8, "'1'"), (6, "y", "property", 3, 8, "'\"q\"'")], "value"))
 _JSON = _corpus("json", _quoted('{"name": "{n}", "2": {k}, "1": null, "tags": [{"t": true}], "in": {"deep": {"x": []}}}'))
-_PATH = F.get_json_object("metadata", "$.path").alias("path")
-_KIND = F.get_json_object("metadata", "$.dataType").alias("data_type")
-_register("json_outline", _JSON, lambda d: nested.json_outline(d).select(*NODES, _KIND, _PATH), _expected([(None, "1", "property", 1, None, "'null'", "'1'"), (None, "2", "property", 1, None, "'number'", "'2'"), (None, "name", "property", 1, None, "'string'", "'name'"), (None, "tags", "property", 1, None, "'array'", "'tags'"), (3, "t", "property", 2, None, "'boolean'", "'tags[].t'"), (None, "in", "property", 1, None, "'object'", "'in'"), (5, "deep", "property", 2, None, "'object'", "'in.deep'"), (6, "x", "property", 3, None, "'array'", "'in.deep.x'")], "data_type path"))
+_register("json_outline", _JSON, lambda d: nested.json_outline(d).select(*NODES, _of("dataType", "data_type"), _of("path")), _expected([(None, "1", "property", 1, None, "'null'", "'1'"), (None, "2", "property", 1, None, "'number'", "'2'"), (None, "name", "property", 1, None, "'string'", "'name'"), (None, "tags", "property", 1, None, "'array'", "'tags'"), (3, "t", "property", 2, None, "'boolean'", "'tags[].t'"), (None, "in", "property", 1, None, "'object'", "'in'"), (5, "deep", "property", 2, None, "'object'", "'in.deep'"), (6, "x", "property", 3, None, "'array'", "'in.deep.x'")], "data_type path"))
 _YAML = _corpus("yaml", _lines(*map(_quoted, ("name: {n}", "size: {k}", "tags:", "  - yes", "  - {a: true}", "none:"))))
-_register("yaml_outline", _YAML, lambda d: nested.yaml_outline(d).select(*NODES, _PATH), _expected([(None, "name", "string", 1, None, "'name'"), (None, "size", "number", 1, None, "'size'"), (None, "tags", "array", 1, None, "'tags'"), (2, "0", "string", 2, None, "'tags.0'"), (2, "1", "object", 2, None, "'tags.1'"), (4, "a", "boolean", 3, None, "'tags.1.a'"), (None, "none", "null", 1, None, "'none'")], "path"))
+_register("yaml_outline", _YAML, lambda d: nested.yaml_outline(d).select(*NODES, _of("path")), _expected([(None, "name", "string", 1, None, "'name'"), (None, "size", "number", 1, None, "'size'"), (None, "tags", "array", 1, None, "'tags'"), (2, "0", "string", 2, None, "'tags.0'"), (2, "1", "object", 2, None, "'tags.1'"), (4, "a", "boolean", 3, None, "'tags.1.a'"), (None, "none", "null", 1, None, "'none'")], "path"))
 _XML = _corpus("xml", _quoted('<part id="{k}"><name>{n}</name><i><a>1</a></i><i><b>2</b></i><i/><i><c>4</c></i></part>'))
-_register("xml_outline", _XML, lambda d: nested.xml_outline(d).select(*NODES, _PATH), _expected([(None, "part", "element", 1, None, "'part'"), (0, "name", "text", 2, None, "'part.name'"), (0, "i", "array", 2, None, "'part.i'"), (2, "a", "text", 3, None, "'part.i[0].a'"), (2, "b", "text", 3, None, "'part.i[1].b'")], "path"))
+_register("xml_outline", _XML, lambda d: nested.xml_outline(d).select(*NODES, _of("path")), _expected([(None, "part", "element", 1, None, "'part'"), (0, "name", "text", 2, None, "'part.name'"), (0, "i", "array", 2, None, "'part.i'"), (2, "a", "text", 3, None, "'part.i[0].a'"), (2, "b", "text", 3, None, "'part.i[1].b'")], "path"))
 
 
 # HTML pages -----------------------------------------------------------------------------------
