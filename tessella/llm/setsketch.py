@@ -133,6 +133,14 @@ def _candidates(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_estimated, "a long, b long, est double").where(F.col("est") >= least)
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, est) whose nodes lie in different components, with the roots ra and rb."""
+    for side in "ab":
+        root = sized(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")))
+        pairs = pairs.join(root, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    return pairs.where("ra <> rb")
+
+
 def _set_rows(shingle: int):
     def rows(batches):
         sets = _texts_by_set(shingle)
@@ -167,10 +175,10 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: fl
     by doc_id (nulls last); a group is a connected component of pairs that reach ``threshold``.
 
     Equal sets are one node.  In each bucket of a band every node is compared with a leader drawn
-    by hash; each node's best estimated partner is verified and components are built.  Then all
-    pairs of each bucket that lie in different components are estimated and verified as well, so
-    no candidate is dropped: those skipped are in one component already.  A bucket of thousands
-    of copies thus costs a number of comparisons in proportion to its rows.
+    by hash; each node's best estimated partner is verified, then its other leaders if they lie in
+    different components.  Then all pairs of each bucket that are still apart are estimated and
+    verified as well, so no candidate is dropped: those skipped are in one component already.  A
+    bucket of thousands of copies thus costs comparisons in proportion to its rows.
     """
     keyed = pick(docs, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
     sketches = keyed.mapInArrow(_sketch(shingle), "doc_id long, uid long, set_hash binary, n int, registers binary")
@@ -191,18 +199,31 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: fl
     likely = written(_candidates(led, sketched, least), "near-likely")
     choice = Window.partitionBy("node").orderBy(F.desc("est"), "a", "b")
     best = likely.select("a", "b", "est", F.explode(F.array("a", "b")).alias("node")).withColumn("at", F.row_number().over(choice)).where("at = 1")
-    edges = written(_verified(written(best.select("a", "b").distinct(), "near-best"), keyed, shingle, threshold).select("a", "b"), "near-edges")
+    first = _verified(written(best.select("a", "b").distinct(), "near-best"), keyed, shingle, threshold)
+    edges = written(first.select("a", "b"), "near-edges")
     roots = connected_components(edges)
 
+    def merged(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges and roots after the written ``pairs`` too were verified."""
+        more = written(_verified(pairs, keyed, shingle, threshold).select("a", "b"), "near-edges")
+        found = edges.unionByName(more)
+        return found, connected_components(found)
+
+    # the other leader pairs, as far as they join different components
+    edges, roots = merged(written(_apart(likely, roots).select("a", "b"), "near-led"))
+
+    # then all pairs of buckets with several components
     rooted = collisions.select("bucket", "node").join(sized(roots), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")).repartition("bucket")
     counted = rooted.withColumn("mixed", F.min("root").over(bucket) != F.max("root").over(bucket)).where("mixed").withColumn("k", F.count("*").over(Window.partitionBy("bucket", "root")))
     most = written(counted.withColumn("most", F.max(F.struct("k", "root")).over(bucket)).select("bucket", "node", "root", F.col("most.root").alias("most")), "near-mixed")
     other = most.where("root <> most").select("bucket", F.col("node").alias("p"), F.col("root").alias("rp"))
     cross = other.join(most.select("bucket", F.col("node").alias("q"), F.col("root").alias("rq"), "most"), "bucket").where("rp <> rq and (rq = most or p < q)")
     cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    rest = written(_candidates(cross, sketched, least).select("a", "b"), "near-rest")
-    more = _verified(rest, keyed, shingle, threshold).select("a", "b")
-    roots = connected_components(edges.unionByName(more))
+    rest = written(_candidates(cross, sketched, least), "near-rest")
+    # of the pairs between two components the likeliest first: if it holds, the others needn't be read
+    between = Window.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy(F.desc("est"), "a", "b")
+    edges, roots = merged(written(_apart(rest, roots).withColumn("at", F.row_number().over(between)).where("at = 1").select("a", "b"), "near-between"))
+    edges, roots = merged(written(_apart(rest, roots).select("a", "b"), "near-left"))
 
     group = F.coalesce("root", "node").alias("group")
     grouped = members.select("uid", "doc_id", "node").join(roots, "node", "left").select("uid", "doc_id", group)
