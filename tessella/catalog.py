@@ -6,6 +6,7 @@ SQL states what must come out from the rows' values, or parses them by other mea
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +62,7 @@ def _register(name: str, corpus: str, plan: Callable[[DataFrame], DataFrame], or
         ORACLE_SQL[name] = oracle
 
 
-# Markup: the SQL splits lines, takes what a pattern finds, and looks up parents one by one -----
+# Markup: the SQL splits lines, takes what a pattern finds, and looks up parents one by one
 
 
 def _line_oracle(corpus: str, items: str, depth: str = "depth", where: str = "true") -> str:
@@ -167,7 +168,7 @@ _XML = _corpus("xml", _quoted('<part id="{k}"><name>{n}</name><i><a>1</a></i><i>
 _register("xml_outline", _XML, lambda d: nested.xml_outline(d).select(*NODES, _of("path")), _expected([(None, "part", "element", 1, None, "'part'"), (0, "name", "text", 2, None, "'part.name'"), (0, "i", "array", 2, None, "'part.i'"), (2, "a", "text", 3, None, "'part.i[0].a'"), (2, "b", "text", 3, None, "'part.i[1].b'")], "path"))
 
 
-# HTML pages -----------------------------------------------------------------------------------
+# HTML pages
 
 _PAGES = "SELECT CAST(page_id AS STRING) AS doc_id, 'html' AS ext, html AS content FROM pages"
 _register("html_outline", _PAGES, lambda d: markup.html(d).select("doc_id", "node_id", "parent_id", "title", "type", "depth", "id", "anchor"), """
@@ -178,7 +179,7 @@ _register("html_outline", _PAGES, lambda d: markup.html(d).select("doc_id", "nod
     UNION ALL SELECT s.doc_id, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY spot) - CASE WHEN a.doc_id IS NULL THEN 1 ELSE 0 END AS INTEGER), NULL, s.title, 'section', 1, 'section-' || s.title, NULL FROM s LEFT JOIN anchors a ON a.doc_id = s.doc_id""")
 
 
-# CSV: a table of each nation's customers -------------------------------------------------------
+# CSV: a table of each nation's customers
 
 _CSV_ROWS = "SELECT CAST(c_nationkey AS STRING) AS doc_id, c_custkey, CAST(c_custkey AS STRING) || ';' || '\"' || c_name || '; x\";' || CAST(CAST(round(c_acctbal) AS BIGINT) AS STRING) || ';' || CASE WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'no' END || ';' || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment || '@x.com' END AS row_text FROM customer"
 
@@ -203,7 +204,7 @@ QUERIES["csv_outline"] = lambda s, d: config.csv(_tables(s, d)).select("doc_id",
 ORACLE_SQL["csv_outline"] = "WITH n AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS doc_id FROM customer) SELECT doc_id, 0 AS node_id, CAST(NULL AS INTEGER) AS parent_id, 'Columns' AS title, 'section' AS type, 1 AS depth FROM n" + "".join(f" UNION ALL SELECT doc_id, {i + 1}, 0, '{name}', '{kind} column', 2 FROM n" for i, (name, kind, _) in enumerate(_CSV_COLUMNS))
 
 
-# Code: a file for each part --------------------------------------------------------------------
+# Code: a file for each part
 
 _CODE: dict[str, tuple[tuple[str, ...], list[tuple]]] = {
     "ts": (("import { a } from 'm{k}';", "export class C{k} {", "  static v = 'class X {';", "  run(a: number, b?: string): string { return help(a); }", "  run2 = 1;", "}", "function help(x) { return x; }", "export const f{k} = (y) => help(y);"),
@@ -245,7 +246,7 @@ _register("import_edges", _CORPORA["py"], lambda d: api.references(d).where("kin
 _register("script_edges", _CORPORA["ts"], lambda d: api.references(d).drop("seq"), _values("from to kind line", [("'f' || k || '.ts'", "'m' || k", "'imports'", 1), ("'C' || k || '.run'", "'help'", "'calls'", 4), ("'f' || k", "'help'", "'calls'", 8)]))
 
 
-# Doc comments -----------------------------------------------------------------------------------
+# Doc comments
 
 
 def _doc(style: str, *lines: str) -> None:
@@ -254,27 +255,31 @@ def _doc(style: str, *lines: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: _documents(spark, sf_dir, corpus).select("doc_id", parse_doc_json(F.lit(style if style in ("jsdoc", "javadoc", "xmldoc") else "pydoc"), F.col("content")).alias("doc"))
 
 
-def _doc_oracle(name: str, json_text: str) -> None:
-    ORACLE_SQL[name] = f"SELECT k AS doc_id, {_quoted(json_text)} AS doc FROM ({_PARTS}) src"
+def _json(value: object) -> str:
+    return json.dumps(value, separators=(",", ":"))
+
+
+def _doc_oracle(name: str, doc: dict) -> None:
+    ORACLE_SQL[name] = f"SELECT k AS doc_id, {_quoted(_json(doc))} AS doc FROM ({_PARTS}) src"
 
 
 _doc("jsdoc", "Makes part {k}.", "", "In two lines.", "@param {string} [name] - the {n}", "@param size", "more", "@returns {number} the key")
-_doc_oracle("doc_jsdoc", '{"summary":"Makes part {k}. In two lines.","params":[{"name":"name","type":"string","description":"the {n}"},{"name":"size"}],"returns":{"type":"number","description":"the key"}}')
+_doc_oracle("doc_jsdoc", dict(summary="Makes part {k}. In two lines.", params=[dict(name="name", type="string", description="the {n}"), dict(name="size")], returns=dict(type="number", description="the key")))
 _doc("javadoc", "Makes <b>part</b> {@link P} {k}.", "@param name the <i>{n}</i>", "@return it")
-_doc_oracle("doc_javadoc", '{"summary":"Makes part P {k}.","params":[{"name":"name","description":"the {n}"}],"returns":{"description":"it"}}')
+_doc_oracle("doc_javadoc", dict(summary="Makes part P {k}.", params=[dict(name="name", description="the {n}")], returns=dict(description="it")))
 _doc("xmldoc", "<summary>", "  Makes   part {k}.", "</summary>", '<param name="a">the {n}</param>', "<returns>it &amp; more</returns>")
-_doc_oracle("doc_xmldoc", '{"summary":"Makes part {k}.","params":[{"name":"a","description":"the {n}"}],"returns":{"description":"it & more"}}')
+_doc_oracle("doc_xmldoc", dict(summary="Makes part {k}.", params=[dict(name="a", description="the {n}")], returns=dict(description="it & more")))
 _doc("doc_sphinx", "Makes part {k}.", "", ":param str name: the {n}", ":type size: int", ":param size: how big", ":returns: it", ":rtype: Part")
-_doc_oracle("doc_sphinx", '{"summary":"Makes part {k}.","params":[{"name":"name","type":"str","description":"the {n}"},{"name":"size","type":"int","description":"how big"}],"returns":{"type":"Part","description":"it"}}')
+_doc_oracle("doc_sphinx", dict(summary="Makes part {k}.", params=[dict(name="name", type="str", description="the {n}"), dict(name="size", type="int", description="how big")], returns=dict(type="Part", description="it")))
 _doc("doc_numpy", "Makes part {k}.", "", "Parameters", "----------", "name : str", "    the {n}", "    again", "", "Returns", "-------", "Part", "    it")
-_doc_oracle("doc_numpy", '{"summary":"Makes part {k}.","params":[{"name":"name","type":"str","description":"the {n} again"}],"returns":{"type":"Part","description":"it"}}')
+_doc_oracle("doc_numpy", dict(summary="Makes part {k}.", params=[dict(name="name", type="str", description="the {n} again")], returns=dict(type="Part", description="it")))
 _doc("doc_google", "Makes part {k}.", "", "Args:", "    name (str): the {n}", "        again", "    *rest: others", "Raises:", "    E: never", "Returns:", "    Part: it")
-_doc_oracle("doc_google", '{"summary":"Makes part {k}.","params":[{"name":"name","type":"str","description":"the {n} again"},{"name":"*rest","description":"others"}],"returns":{"type":"Part","description":"it"}}')
+_doc_oracle("doc_google", dict(summary="Makes part {k}.", params=[dict(name="name", type="str", description="the {n} again"), dict(name="*rest", description="others")], returns=dict(type="Part", description="it")))
 _doc("doc_plain", "", "Makes part {k}", "of {n}.", "", "No more.")
-_doc_oracle("doc_plain", '{"summary":"Makes part {k} of {n}."}')
+_doc_oracle("doc_plain", dict(summary="Makes part {k} of {n}."))
 
 
-# Formats ------------------------------------------------------------------------------------------
+# Formats
 
 _TREE = _corpus("md", _lines(*map(_quoted, ('# "{k}"', "## Size", "### It''s <{k}>", "# End"))).replace("''''", "''"))
 _CLASS = _corpus("ts", _lines(*map(_quoted, ("class C{k} {", "  private a: number;", "  run(x, y) {}", "}"))))
@@ -293,14 +298,14 @@ _format("fmt_ascii_tree", "ascii-tree", '├─ "{k}" [heading] (line 1)\n  ├
 _format("fmt_ascii_compact", "tree", '├─ "{k}" [heading]\n  ├─ Size [heading]\n    ├─ It\'s <{k}> [heading]\n├─ End [heading]\n', compact=True)
 _format("fmt_csv", "csv", 'path,title,type,depth,line\n"""{k}""","""{k}""",heading,1,1\n"""{k}""/Size",Size,heading,2,2\n"""{k}""/Size/It\'s <{k}>",It\'s <{k}>,heading,3,3\nEnd,End,heading,1,4\n')
 _format("fmt_dot", "dot", 'digraph outline {\n  rankdir=LR;\n  node [shape=box];\n  n0 [label="\\"{k}\\"\\n[heading]"];\n  n1 [label="Size\\n[heading]"];\n  n2 [label="It\'s <{k}>\\n[heading]"];\n  n3 [label="End\\n[heading]"];\n  n0 -> n1;\n  n1 -> n2;\n}\n')
-_format("fmt_sql", "sql", sinks._SQL_TABLE + "".join(f"INSERT INTO outline_nodes (id, parent_id, title, type, depth, line) VALUES ({i}, {p}, '{t}', 'heading', {d}, {i + 1});\n" for i, (p, t, d) in enumerate((("NULL", '"{k}"', 1), (0, "Size", 2), (1, "It''s <{k}>", 3), ("NULL", "End", 1)))))
+_format("fmt_sql", "sql", sinks._SQL_TABLE + "".join(f"{sinks._SQL_INSERT}{i}, {p}, '{t}', 'heading', {d}, {i + 1});\n" for i, (p, t, d) in enumerate((("NULL", '"{k}"', 1), (0, "Size", 2), (1, "It''s <{k}>", 3), ("NULL", "End", 1)))))
 _format("fmt_mermaid", "mermaid", 'flowchart TD\n  n0["\'{k}\'"]\n  n1["Size"]\n  n2["It\'s <{k}>"]\n  n3["End"]\n  n0 --> n1\n  n1 --> n2\n')
 _format("fmt_mermaid_class", "mermaid", 'classDiagram\n  class C{k}["C{k}"] {\n    -a\n    +run(x, y)\n  }\n', _CLASS)
 _format("fmt_plantuml", "plantuml", '@startmindmap\n* "{k}"\n** Size\n*** It\'s <{k}>\n* End\n@endmindmap\n')
 _format("fmt_plantuml_class", "plantuml", '@startuml\nclass "C{k}" as C{k} {\n  -a\n  +run(x, y)\n}\n@enduml\n', _CLASS)
-_format("fmt_json", "json", '[{"title":"C{k}","type":"class","depth":1,"line":1,"children":[{"title":"a","type":"property","depth":2,"line":2,"metadata":{"visibility":"private","dataType":"number"}},{"title":"run","type":"method","depth":2,"line":3,"metadata":{"parameters":[{"name":"x"},{"name":"y"}]}}]}]', _CLASS, compact=True)
+_format("fmt_json", "json", _json([dict(title="C{k}", type="class", depth=1, line=1, children=[dict(title="a", type="property", depth=2, line=2, metadata=dict(visibility="private", dataType="number")), dict(title="run", type="method", depth=2, line=3, metadata=dict(parameters=[dict(name="x"), dict(name="y")]))])]), _CLASS, compact=True)
 _format("fmt_yaml", "yaml", "- title: C{k}\n  type: class\n  depth: 1\n  line: 1\n  children:\n    - title: a\n      type: property\n      depth: 2\n      line: 2\n      metadata:\n        visibility: private\n        dataType: number\n    - title: run\n      type: method\n      depth: 2\n      line: 3\n      metadata:\n        parameters:\n          - name: x\n          - name: 'y'\n", _CLASS)
-_format("fmt_xml", "xml", '<?xml version="1.0" encoding="UTF-8"?>\n<outline>\n  <node title="C{k}" type="class" depth="1" line="1">\n    <node title="a" type="property" depth="2" line="2">\n      <metadata>\n        <entry key="visibility" value="private"/>\n        <entry key="dataType" value="number"/>\n      </metadata>\n    </node>\n    <node title="run" type="method" depth="2" line="3">\n      <metadata>\n        <entry key="parameters" value="[{&quot;name&quot;:&quot;x&quot;},{&quot;name&quot;:&quot;y&quot;}]"/>\n      </metadata>\n    </node>\n  </node>\n</outline>\n', _CLASS)
+_format("fmt_xml", "xml", sinks._XML_HEAD + '  <node title="C{k}" type="class" depth="1" line="1">\n    <node title="a" type="property" depth="2" line="2">\n      <metadata>\n        <entry key="visibility" value="private"/>\n        <entry key="dataType" value="number"/>\n      </metadata>\n    </node>\n    <node title="run" type="method" depth="2" line="3">\n      <metadata>\n        <entry key="parameters" value="[{&quot;name&quot;:&quot;x&quot;},{&quot;name&quot;:&quot;y&quot;}]"/>\n      </metadata>\n    </node>\n  </node>\n</outline>\n', _CLASS)
 
 
 def _item(depth: int, title: str, line: int, anchor: str) -> str:
@@ -310,7 +315,7 @@ def _item(depth: int, title: str, line: int, anchor: str) -> str:
 _format("fmt_html", "html", sinks._HTML_HEAD + _item(1, "&quot;{k}&quot;", 1, "{k}") + "    <ul>\n" + _item(2, "Size", 2, "size") + "        <ul>\n" + _item(3, "It&apos;s &lt;{k}&gt;", 3, "its-{k}") + "          </li>\n        </ul>\n      </li>\n    </ul>\n  </li>\n" + _item(1, "End", 4, "end") + "  </li>\n" + sinks._HTML_FOOT)
 
 
-# Trees, hashes and corpus summaries ---------------------------------------------------------------
+# Trees, hashes and corpus summaries
 
 _register("tree_paths", _MD, lambda d: with_paths(markup.markdown(d)).select("doc_id", "node_id", "tree_depth", F.array_join("path", "/").alias("path")), """
     WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_name AS n, p_partkey % 3 = 0 AS deep FROM part)

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from tessella import api, sinks
 from tessella.errors import OutlineError, UnsupportedExtensionError
-from tessella.schema import SYMBOL_SCHEMA_VERSION
+from tessella.schema import empty_symbol_table
 from tessella.sources.files import read_documents
 
 
@@ -57,7 +57,7 @@ def _documents(file: str):
 
 def _symbols(args: argparse.Namespace) -> str:
     docs = _documents(args.file)
-    table = {"schemaVersion": SYMBOL_SCHEMA_VERSION, "symbols": [], "references": []}
+    table = empty_symbol_table()
     for s in api.symbols(docs).orderBy("seq").collect():
         entry = {"name": s["name"], "qualifiedName": s["qualified_name"], "kind": s["kind"], "span": {"startLine": s["start_line"], "endLine": s["end_line"]}, "exported": s["exported"]}
         table["symbols"].append(entry | ({"signature": s["signature"]} if s["signature"] else {}))

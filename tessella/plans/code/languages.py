@@ -94,7 +94,7 @@ def _modifiers(m: re.Match, levels: tuple[str, ...]) -> dict:
     return {"visibility": found[-1] if found else None, "isStatic": True if "static" in words else None, "isAbstract": True if "abstract" in words else None}
 
 
-# Parameters: each takes the places within the brackets ---------------------------------------
+# Parameters: each takes the places within the brackets
 
 
 def _typed_after(s: Scanner, a: int, b: int) -> list[dict]:
@@ -193,7 +193,7 @@ def _user_type(text: str) -> str | None:
     return text if re.fullmatch(rf"{ID}(?:\s*\.\s*{ID})*\s*(?:{GEN})?", text) else None
 
 
-# TypeScript and JavaScript -------------------------------------------------------------------
+# TypeScript and JavaScript
 
 _TS_LEAD = _rx(r"(?P<decorators>(?:@[\w.]+(?:\((?:[^()]|\([^()]*\))*\))?\s*)*)(?P<export>export\s+(?:default\s+)?)?(?:declare\s+)?")
 _TS_MODS = r"(?P<mods>(?:(?:public|private|protected|static|abstract|override|readonly|async|declare|get|set|accessor)\s+)*)"
@@ -354,7 +354,7 @@ JAVASCRIPT = Language("javascript", (
 ), noise=_TS_NOISE, newline=True, lead=_TS_LEAD)
 
 
-# Java and C# ---------------------------------------------------------------------------------
+# Java and C#
 
 _TYPE = rf"(?!(?:return|new|throw|else|case|package|import|using|event|class|interface|enum|struct|record|delegate|operator|implicit|explicit|public|private|protected|internal|static|abstract|final|sealed|virtual|override|readonly|const|async|partial|extern|unsafe|synchronized|native|default|transient|volatile|required)\b){ID}(?:\s*\.\s*{ID})*\s*(?:{GEN})?(?:\s*\.\s*{ID})*(?:\s*\[[\s,]*\]|\s*\?)*"
 _JAVA_MODS = r"(?P<mods>(?:(?:@(?!interface\b)[\w.]+(?:\s*\((?:[^()]|\([^()]*\))*\))?|public|private|protected|static|abstract|final|synchronized|native|default|transient|volatile|strictfp|sealed|non-sealed)\s+)*)"
@@ -440,7 +440,7 @@ CSHARP = Language("csharp", (
 ), noise=_rx(r"@\"(?:\"\"|[^\"])*\"|" + C_NOISE), doc_style="xmldoc")
 
 
-# C++ -----------------------------------------------------------------------------------------
+# C++
 
 _CPP_PRE = rf"(?P<mods>(?:(?:template\s*{GEN}|virtual|static|inline|explicit|constexpr|friend|extern|mutable|typename)\s+|\[\[[^\]]*\]\]\s*)*)"
 _CPP_TYPE = rf"(?!(?:return|else|new|delete|using|typedef|namespace|class|struct|union|enum|case|goto|throw|public|private|protected|operator|template)\b)(?:(?:const|unsigned|signed|long|short)\s+)*{ID}(?:\s*::\s*{ID})*\s*(?:{GEN})?(?:\s*::\s*{ID})*(?:\s+const)?"
@@ -509,7 +509,7 @@ CPP = Language("cpp", (
 ))
 
 
-# Go ------------------------------------------------------------------------------------------
+# Go
 
 
 def _go_visibility(name: str) -> str:
@@ -605,7 +605,7 @@ GO = Language("go", (
 ), noise=_rx(C_NOISE + r"|`[^`]*`"), newline=True)
 
 
-# Rust ----------------------------------------------------------------------------------------
+# Rust
 
 _RUST_PUB = r"(?P<pub>pub(?:\s*\([^)]*\))?\s+)?"
 _RUST_LEAD = _rx(r"(?:#!?\[(?:[^\[\]]|\[[^\]]*\])*\]\s*)*")
@@ -659,7 +659,7 @@ RUST = Language("rust", (
 ), frozenset(("impl", "trait")), noise=_rx(r"//[^\n]*|/\*.*?(?:\*/|\Z)|r(#*)\".*?\"\1|\"(?:\\.|[^\"\\])*\"|'(?:\\[^']*|[^'\\\n])'"), lead=_RUST_LEAD)
 
 
-# PHP -----------------------------------------------------------------------------------------
+# PHP
 
 _PHP_MODS = r"(?P<mods>(?:(?:public|private|protected|static|abstract|final|readonly|var)\s+)*)"
 _PHP_TYPE = r"(?P<type>\??[\w\\|&]+)"
@@ -712,7 +712,7 @@ PHP = Language("php", (
 ), frozenset(("class", "interface", "trait")), noise=_rx(C_NOISE + r"|#(?!\[)[^\n]*"), comment="/#", lead=_rx(r"(?:#\[(?:[^\[\]]|\[[^\]]*\])*\]\s*)*"))
 
 
-# Kotlin, Swift and Scala ---------------------------------------------------------------------
+# Kotlin, Swift and Scala
 
 _KT_MODS = r"(?P<mods>(?:(?:@[\w.]+(?:\([^()]*\))?|public|private|protected|internal|abstract|open|final|override|data|sealed|inner|enum|annotation|inline|infix|operator|suspend|tailrec|external|lateinit|const|value|fun(?=\s+interface)|companion|expect|actual|vararg)\s+)*)"
 _kt_parameters = _named_types("vararg crossinline noinline")

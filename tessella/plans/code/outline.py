@@ -25,7 +25,8 @@ PYTHON, RUBY, LUA = ("py",), ("rb", "rake", "gemspec"), ("lua",)
 EXTENSIONS = (*BY_EXTENSION, *PYTHON, *RUBY, *LUA)
 #: Capture kinds inside of which a function is a method.
 CLASS_LIKE = {"rs": ("impl", "trait"), "php": ("class", "interface", "trait"), "phtml": ("class", "interface", "trait"), "kt": ("class", "interface", "object"), "kts": ("class", "interface", "object"), "swift": ("class", "protocol"), "scala": ("class", "object", "trait"), "sbt": ("class", "object", "trait"), **dict.fromkeys(RUBY, ("class", "module")), "lua": ()}
-SYMBOL_KIND = {"function": "function", "method": "method", "constructor": "constructor", "class": "class", "interface": "interface", "struct": "struct", "enum": "enum", "enum-value": "enum_member", "enum-member": "enum_member", "trait": "trait", "type": "type_alias", "typedef": "type_alias", "namespace": "namespace", "module": "module", "mod": "module", "package": "module", "object": "class", "impl": "class", "union": "struct", "field": "field", "property": "property", "interface-property": "property", "interface-method": "method", "const": "constant", "constant": "constant", "variable": "variable"}
+#: Symbol kinds by capture kind; those not here are variables.
+SYMBOL_KIND = {k: k for k in "class constant constructor enum field function interface method module namespace property struct trait variable".split()} | {"const": "constant", "enum-member": "enum_member", "enum-value": "enum_member", "impl": "class", "interface-method": "method", "interface-property": "property", "mod": "module", "object": "class", "package": "module", "type": "type_alias", "typedef": "type_alias", "union": "struct"}
 
 _DEFINITIONS = "doc_id string, ext string, def_id int, parent_id int, start int, end int, kind string, type string, name string, tree_depth int, line int, col int, end_line int, end_col int, exported boolean, docstring string, metadata string"
 _SITES = "doc_id string, start int, end int, kind string, name string, line int, seq int"

@@ -52,9 +52,9 @@ def properties(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     return assemble(items, max_depth, levels=1).withColumn("anchor", F.lit(None).cast("string"))
 
 
-# CSV ------------------------------------------------------------------------------------------
+# CSV
 
-DELIMITERS = [",", ";", "\t", "|", ":"]
+DELIMITERS = list(",;\t|:")
 _QUOTED_REST = '(?=(?:[^"]*"[^"]*")*[^"]*\\z)'
 NUMBER = r"^[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\z|^0[xX][0-9a-fA-F]+\z|^0[oO][0-7]+\z|^0[bB][01]+\z"
 
@@ -141,13 +141,14 @@ def csv_tables(docs: DataFrame) -> DataFrame:
 
 def csv_type_counts(value: Column) -> dict[str, Column]:
     """For each inferred type, whether a value has it."""
-    date = r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4})\z"
+    two, four = "[0-9]{2}", "[0-9]{4}"
+    date = "^(?:" + "|".join((f"{four}-{two}-{two}", f"{four}/{two}/{two}", *(f"{two}{mark}{two}{mark}{four}" for mark in ("-", "/", "[.]")))) + r")\z"
     month = F.when(value.rlike(r"^\d{4}"), F.substring(value, 6, 2)).otherwise(F.substring(value, 1, 2)).try_cast("int")
     day = F.when(value.rlike(r"^\d{4}"), F.substring(value, 9, 2)).otherwise(F.substring(value, 4, 2)).try_cast("int")
     return {
-        "email": value.rlike(rf"^[^\s@]+@[^\s@]+\.[^\s@]+\z"),
+        "email": value.rlike(r"^[^@\s]+@[^@\s]+[.][^@\s]+\z"),
         "url": value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~value.rlike(r"(?i)^(?:https?|ftp|wss?):/*(?:[/?#]|\z)") & ~value.rlike(r"(?i)^(?:https?|ftp|wss?):[/\\]*[^/?#]*\s"),
-        "boolean": F.lower(value).isin("true", "false", "yes", "no", "1", "0", "y", "n"),
+        "boolean": F.lower(value).isin(*"0 1 false n no true y yes".split()),
         "number": value.rlike(NUMBER),
         "date": value.rlike(date) & month.between(1, 12) & day.between(1, 31),
     }

@@ -10,12 +10,12 @@ from tessella.operators.lines import explode_lines, split_lines
 from tessella.operators.tree import ITEM_COLUMNS, assemble, assemble_unbounded, filter_depth
 
 LATEX_RANKS = ["part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph"]
-LATEX_ENVIRONMENTS = "figure table tabular equation align theorem lemma proof definition corollary proposition algorithm listing lstlisting verbatim minted".split()
+LATEX_ENVIRONMENTS = "algorithm align corollary definition equation figure lemma listing lstlisting minted proof proposition table tabular theorem verbatim".split()
 _HASHES = rf"^(#{{1,6}}){WS}+({DOT}+)\z"
 _EQUALS = rf"^(={{1,6}}){WS}+({DOT}+)\z"
 _ADOC_BLOCK = rf"^\[([^\]]+)\]{WS}*\z"
 _WIKI = rf"^(={{1,6}}){WS}*({DOT}+?){WS}*\1{WS}*\z"
-_WIKI_CODE = rf"(?i)<(?:syntaxhighlight|source)\b[^>]*\blang=[\"']?([A-Za-z0-9_+-]+)"
+_WIKI_CODE = rf"(?i)<(?:source|syntaxhighlight)\b[^>]*?\blang=[\"']?([A-Za-z0-9_+-]+)"
 _STARS = rf"^(\*+){WS}+({DOT}+)\z"
 _ORG_BLOCK = rf"(?i)^{WS}*#\+begin_([A-Za-z0-9_]+)({DOT}*)\z"
 _LATEX = rf"^{WS}*\\({'|'.join(LATEX_RANKS)})\*?{WS}*\{{({DOT}+?)\}}"
@@ -81,7 +81,7 @@ def org(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     ``#+BEGIN_`` blocks."""
     rows = explode_lines(docs, keep=rf"{_STARS}|{_ORG_BLOCK}")
     heading = F.col("text").rlike(_STARS)
-    todo, priority, tags = rf"^(TODO|DONE|NEXT|WAITING|CANCELLED)\b{WS}*", rf"^\[#([A-Z])\]{WS}*", rf"{WS}+(:[A-Za-z0-9_@%#:]+:){WS}*\z"
+    todo, priority, tags = rf"^(CANCELLED|DONE|NEXT|TODO|WAITING)\b{WS}*", rf"^\[#([A-Z])\]{WS}*", rf"{WS}+(:[A-Za-z0-9_@%#:]+:){WS}*\z"
     rows = rows.withColumn("t0", trim(F.regexp_extract("text", _STARS, 2))).withColumn("t1", F.regexp_replace("t0", todo, "")).withColumn("t2", F.regexp_replace("t1", priority, "")).withColumn("t3", trim(F.regexp_replace("t2", tags, "")))
     some = lambda c: F.when(c != "", c)
     tag_list = F.filter(F.split(F.regexp_extract("t2", tags, 1), ":"), lambda t: t != "")

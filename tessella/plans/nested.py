@@ -247,7 +247,7 @@ def _no_entities(*_):
     raise ValueError("entity declarations are not read")
 
 
-# TOML -----------------------------------------------------------------------------------------
+# TOML
 
 _TOML_VALUE = re.compile(r"\"\"\"(?:\\.|[^\\])*?\"\"\"|'''.*?'''|\"(?:\\.|[^\"\\\n])*\"|'[^'\n]*'|#[^\n]*|[\[\]{},\n]", re.S)
 _TOML_TABLE = re.compile(r"[ \t]*(\[\[?)[ \t]*([^\]\n]+?)[ \t]*\]\]?")

@@ -31,6 +31,24 @@ SYMBOLS = "doc_id string, seq int, name string, qualified_name string, kind stri
 REFERENCES = "doc_id string, seq int, `from` string, `to` string, kind string, line int"
 
 
+def symbol_table_schema() -> dict:
+    """The JSON Schema (draft 07) of a symbol table as the command line prints it."""
+    draft = "draft-07"
+    text, number = {"type": "string"}, {"type": "integer", "minimum": 1}
+
+    def record(required: dict, optional: dict | None = None) -> dict:
+        return {"type": "object", "properties": required | (optional or {}), "required": list(required), "additionalProperties": False}
+
+    symbol = record({"name": text, "qualifiedName": text, "kind": {"enum": sorted(SYMBOL_KINDS)}, "span": record({"startLine": number, "endLine": number}), "exported": {"type": "boolean"}}, {"signature": text})
+    reference = record({"from": text, "to": text, "kind": {"enum": ["calls", "imports"]}, "line": number})
+    table = record({"schemaVersion": {"const": SYMBOL_SCHEMA_VERSION}, "symbols": {"type": "array", "items": symbol}, "references": {"type": "array", "items": reference}})
+    return {"$schema": f"http://json-schema.org/{draft}/schema#", "title": "SymbolTable"} | table
+
+
+def empty_symbol_table() -> dict:
+    return {"schemaVersion": SYMBOL_SCHEMA_VERSION, "symbols": [], "references": []}
+
+
 def with_typed_metadata(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``metadata`` as a struct of the known keys, for typed queries."""
     return nodes.withColumn("metadata", F.from_json("metadata", METADATA))

@@ -20,9 +20,9 @@ from tessella.errors import UnsupportedFormatError
 from tessella.functions.text import escape_csv, escape_sql, escape_xml, sanitize_id
 from tessella.operators.tree import with_paths
 
-CLASS_TYPES = ("class", "interface", "struct", "enum", "trait", "object", "type", "union")
-MEMBER_TYPES = ("method", "function", "field", "property", "constructor", "destructor", "enum-value", "interface-method", "interface-property", "operator")
-METHOD_TYPES = ("method", "function", "constructor", "interface-method")
+CLASS_TYPES = tuple("class enum interface object struct trait type union".split())
+MEMBER_TYPES = tuple("constructor destructor enum-value field function interface-method interface-property method operator property".split())
+METHOD_TYPES = tuple("constructor function interface-method method".split())
 
 
 def _pad(n: Column) -> Column:
@@ -66,7 +66,9 @@ def csv(nodes: DataFrame) -> DataFrame:
     return _output(_joined(csv_rows(nodes), "row", sep="\n"), F.concat(F.lit("path,title,type,depth,line\n"), F.col("row"), F.lit("\n")))
 
 
-_SQL_TABLE = "CREATE TABLE outline_nodes (\n  id INTEGER PRIMARY KEY,\n  parent_id INTEGER,\n  title TEXT,\n  type TEXT,\n  depth INTEGER,\n  line INTEGER\n);\n\n"
+_SQL_COLUMNS = dict(id="INTEGER PRIMARY KEY", parent_id="INTEGER") | dict.fromkeys(("title", "type"), "TEXT") | dict.fromkeys(("depth", "line"), "INTEGER")
+_SQL_TABLE = "CREATE TABLE outline_nodes (\n" + ",\n".join(f"  {name} {kind}" for name, kind in _SQL_COLUMNS.items()) + "\n);\n\n"
+_SQL_INSERT = f"INSERT INTO outline_nodes ({', '.join(_SQL_COLUMNS)}) VALUES ("
 
 
 def sql_rows(nodes: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def sql_rows(nodes: DataFrame) -> DataFrame:
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NULL"))
     quoted = lambda c: F.concat(F.lit("'"), escape_sql(F.col(c)), F.lit("'"))
     values = F.concat_ws(", ", number("node_id"), number("parent_id"), quoted("title"), quoted("type"), number("tree_depth"), number("line"))
-    return nodes.select("doc_id", "node_id", F.concat(F.lit("INSERT INTO outline_nodes (id, parent_id, title, type, depth, line) VALUES ("), values, F.lit(");")).alias("row"))
+    return nodes.select("doc_id", "node_id", F.concat(F.lit(_SQL_INSERT), values, F.lit(");")).alias("row"))
 
 
 def sql(nodes: DataFrame) -> DataFrame:
@@ -144,6 +146,10 @@ def _closed(text: Callable[[Column], Column]) -> Column:
     return F.when(F.col("leaf") & (last >= first), F.array_join(F.transform(F.reverse(F.sequence(first, F.greatest(first, last))), text), "")).otherwise("")
 
 
+_XML_DECLARED = 'version="1.0" encoding="UTF-8"'
+_XML_HEAD = f"<?xml {_XML_DECLARED}?>\n<outline>\n"
+
+
 def xml(nodes: DataFrame) -> DataFrame:
     rows = _with_next(nodes)
     depth = F.col("tree_depth")
@@ -154,24 +160,12 @@ def xml(nodes: DataFrame) -> DataFrame:
     end = lambda d: F.concat(_pad(d), F.lit("</node>\n"))
     text = F.when(F.col("leaf") & meta.isNull(), F.concat(_pad(depth), attributes, F.lit("/>\n"))).otherwise(F.concat(_pad(depth), attributes, F.lit(">\n"), F.coalesce(meta, F.lit("")), F.when(F.col("leaf"), end(depth)).otherwise("")))
     joined = _joined(rows.select("doc_id", "node_id", F.concat(text, _closed(end)).alias("t")), "t")
-    return _output(joined, F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<outline>\n'), F.col("t"), F.lit("</outline>\n")))
-
-
-_HTML_HEAD = """<!DOCTYPE html>
-<html lang="en">
-<head>
-<meta charset="UTF-8">
-<title>Outline</title>
-<style>
-  ul { list-style: none; margin: 0.1rem 0; padding-left: 1.2rem; }
-  .type { color: #777; }
-  .line { color: #aaa; }
-</style>
-</head>
-<body>
-<h1>Outline</h1>
-<ul>
-"""
+    return _output(joined, F.concat(F.lit(_XML_HEAD), F.col("t"), F.lit("</outline>\n")))
+
+
+_HTML_HEAD = "".join(f"<{tag}>\n" for tag in ("!DOCTYPE html", 'html lang="en"', "head", 'meta charset="UTF-8"', "title>Outline</title", "style"))
+_HTML_HEAD += "".join(f"  {rule}\n" for rule in ("ul { list-style: none; margin: 0.1rem 0; padding-left: 1.2rem; }", ".type { color: #777; }", ".line { color: #aaa; }"))
+_HTML_HEAD += "".join(f"<{tag}>\n" for tag in ("/style", "/head", "body", "h1>Outline</h1", "ul"))
 _HTML_FOOT = "</ul>\n</body>\n</html>\n"
 
 
@@ -246,7 +240,7 @@ def yaml_tree(nodes: DataFrame) -> DataFrame:
 
 
 #: What documents without nodes give.
-_EMPTY = {"ascii-tree": "", "tree": "", "json": "[]", "yaml": "[]\n", "xml": '<?xml version="1.0" encoding="UTF-8"?>\n<outline>\n</outline>\n', "csv": "path,title,type,depth,line\n", "sql": _SQL_TABLE, "dot": "digraph outline {\n  rankdir=LR;\n  node [shape=box];\n}\n", "mermaid": "flowchart TD\n", "plantuml": "@startmindmap\n@endmindmap\n", "html": _HTML_HEAD + _HTML_FOOT}
+_EMPTY = {"ascii-tree": "", "tree": "", "json": "[]", "yaml": "[]\n", "xml": _XML_HEAD + "</outline>\n", "csv": "path,title,type,depth,line\n", "sql": _SQL_TABLE, "dot": "digraph outline {\n  rankdir=LR;\n  node [shape=box];\n}\n", "mermaid": "flowchart TD\n", "plantuml": "@startmindmap\n@endmindmap\n", "html": _HTML_HEAD + _HTML_FOOT}
 _FORMATS: dict[str, Callable[..., DataFrame]] = {"ascii-tree": ascii_tree, "tree": ascii_tree, "json": json_tree, "yaml": yaml_tree, "xml": xml, "csv": csv, "sql": sql, "dot": dot, "mermaid": mermaid, "plantuml": plantuml, "html": html}
 
 
