@@ -47,7 +47,10 @@ def _corpus(ext: str, content: str) -> str:
 def _documents(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for t in TABLES:
         if f" {t}" in sql:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            if t == "part":  # a small file that many documents are made of: spread its rows
+                rows = rows.repartition(spark.sparkContext.defaultParallelism)
+            rows.createOrReplaceTempView(t)
     return spark.sql(sql)
 
 

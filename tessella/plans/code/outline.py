@@ -158,17 +158,25 @@ def signature(metadata: Column) -> Column:
 
 
 def qualified_names(defs: DataFrame) -> DataFrame:
-    """``defs`` with ``qualified_name``: the names from the outermost definition inwards, by a
-    fold over each document's definitions in source order."""
-    group = defs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("def_id", "tree_depth", "name"))).alias("all"))
+    """``defs`` with ``qualified_name``, the names from the outermost definition inwards, and
+    ``parent_kind``.  One shuffle by document, and a fold over its definitions in source order, so
+    files are parsed once."""
+    columns = ["def_id", *[c for c in defs.columns if c not in ("doc_id", "def_id")]]
+    group = defs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("all"))
+    row = group.schema["all"].dataType.elementType.simpleString()
+    out = f"array<struct<d:{row},qualified_name:string,parent_kind:string>>"
 
     def step(acc, x):
-        path = F.concat(F.slice(acc["path"], 1, x["tree_depth"] - 1), F.array(x["name"]))
-        return F.struct(path.alias("path"), F.concat(acc["out"], F.array(F.struct(x["def_id"].alias("def_id"), F.array_join(path, ".").alias("qualified_name")))).alias("out"))
+        above = x["tree_depth"] - 1
+        path = F.concat(F.slice(acc["path"], 1, above), F.array(x["name"]))
+        kinds = F.concat(F.slice(acc["kinds"], 1, above), F.array(x["kind"]))
+        parent = F.when(above > 0, F.try_element_at(acc["kinds"], F.greatest(above, F.lit(1))))
+        found = F.struct(x.alias("d"), F.array_join(path, ".").alias("qualified_name"), parent.alias("parent_kind"))
+        return F.struct(path.alias("path"), kinds.alias("kinds"), F.concat(acc["out"], F.array(found)).cast(out).alias("out"))
 
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<def_id:int,qualified_name:string>>").alias("out"))
-    named = group.select("doc_id", F.explode(F.aggregate("all", start, step, lambda a: a["out"])).alias("q")).select("doc_id", "q.*")
-    return defs.join(named, ["doc_id", "def_id"])
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<string>").alias("kinds"), F.array().cast(out).alias("out"))
+    named = group.select("doc_id", F.explode(F.aggregate("all", start, step, lambda a: a["out"])).alias("q"))
+    return named.select("doc_id", "q.d.*", "q.qualified_name", "q.parent_kind")
 
 
 def _with_toml(docs: DataFrame) -> DataFrame:
@@ -206,8 +214,7 @@ def _with_toml(docs: DataFrame) -> DataFrame:
 def symbols(docs: DataFrame) -> DataFrame:
     """(doc_id, seq, name, qualified_name, kind, start_line, end_line, exported, signature)."""
     defs = definitions(docs).unionByName(_with_toml(docs))
-    parents = defs.select("doc_id", F.col("def_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
-    named = qualified_names(defs).join(parents, ["doc_id", "parent_id"], "left")
+    named = qualified_names(defs)
     like = F.col("parent_kind").isin("class", "struct", "interface")
     for ext, kinds in CLASS_LIKE.items():
         like = F.when(F.col("ext") == ext, F.col("parent_kind").isin(*kinds) if kinds else F.lit(False)).otherwise(like)
