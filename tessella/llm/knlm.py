@@ -1,10 +1,10 @@
-"""Interpolated modified Kneser-Ney language model over word hashes, counted in Spark.
+"""Interpolated modified Kneser-Ney language model, counted in Spark.
 
-An n-gram is kept as the hashes of its contexts, longest first, and its word.  Tasks count their
-n-grams in numpy and send sorted, compressed runs to buckets by context; each bucket merges its
-runs, writes sorted hash arrays to the shared folder and passes on its distinct n-grams, without
-their first words, as the continuation counts of the next lower order.  Workers map the arrays
-into memory and look up the n-grams of a text by binary search.
+Words are numbered first, frequent ones low, so that an n-gram is a few small integers.  Tasks
+count their n-grams in numpy and send sorted, compressed runs to buckets by context; each bucket
+merges its runs, writes its arrays to the shared folder and passes on its distinct n-grams,
+without their first words, as the continuation counts of the next lower order.  Workers map the
+arrays into memory and look up the n-grams of a text by binary search.
 """
 
 from __future__ import annotations
@@ -15,20 +15,21 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessella.llm.common import new_path, pick, written
+from tessella.llm.common import new_path, pick
 from tessella.llm.words import mix, word_batches
 
-ORDER = 2
+ORDER = 3
 _U = np.uint64
-_BOS, _EOS = mix(np.array([1, 2], dtype=_U))
+#: The numbers of a text's start and end; words have those that follow.
+_BOS, _EOS = 0, 1
 _EMPTY = _U(0x243F6A8885A308D3)
 #: N-grams that a task gathers before it counts and sends them.
 _BUFFER = 2_000_000
 _RUNS = "bucket int, n long, run binary"
 _STATS = ["n1", "n2", "n3", "n4", "total", "t1", "t2", "t3", "kinds"]
-_MERGED = _RUNS + ", " + ", ".join(f"{s} long" for s in _STATS)
+#: Contexts that share a full offset; the others' are kept as distances from it.
+_BLOCK = 64
 
 
 def _local(path: str) -> str:
@@ -40,8 +41,8 @@ def _local(path: str) -> str:
     return path
 
 
-def _columns(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Columns (contexts of order-1 down to 1 words, then the word) of all positions of a run of
+def _columns(ids: np.ndarray, counts: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns (the order-1 words before, then the word itself) of all positions of a run of
     texts, the end of each text included, and the positions per text."""
     texts = np.flatnonzero(counts > 0)
     sizes = counts[texts] + order  # order-1 starts and an end for each text that has a word
@@ -49,78 +50,264 @@ def _columns(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[list[np
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(texts)), counts[texts])
     first = np.cumsum(counts[texts]) - counts[texts]
-    seq[(ends - sizes)[owner] + order - 1 + np.arange(len(words)) - first[owner]] = words
+    seq[(ends - sizes)[owner] + order - 1 + np.arange(len(ids)) - first[owner]] = ids
     seq[ends - 1] = _EOS
     predicted = np.ones(len(seq), dtype=bool)
     for j in range(order - 1):
         predicted[ends - sizes + j] = False
     at = np.flatnonzero(predicted)
-    contexts = []
-    context = np.full(len(at), _EMPTY, dtype=_U)
-    for j in range(1, order):
-        context = mix(context + seq[at - j] * _U(0x9E3779B97F4A7C15))
-        contexts.append(context)
     places = np.zeros(len(counts), dtype=np.int64)
     places[texts] = counts[texts] + 1
-    return [*contexts[::-1], seq[at]], places
+    return [seq[at - j] for j in range(order - 1, -1, -1)], places
 
 
 def _count(columns: list[np.ndarray], n: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows by (first column, last column) in that order, with summed counts."""
-    order = np.lexsort((columns[-1], columns[0]))
+    """Distinct rows in order, with summed counts."""
+    order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[-1][1:] != columns[-1][:-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
     starts = np.flatnonzero(new)
     sums = np.diff(np.append(starts, len(order))) if n is None else np.add.reduceat(n[order], starts) if len(starts) else n
     return [c[starts] for c in columns], sums.astype(np.int64)
 
 
-def _bucket(first: np.ndarray, buckets: int) -> np.ndarray:
-    return ((first >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-
-
-def _runs(columns: list[np.ndarray], n: np.ndarray, buckets: int):
-    """A run for each bucket, from rows that are sorted by the first column."""
+def _key(columns: list[np.ndarray], bits: int) -> tuple[np.ndarray, int]:
+    """A key for each row of numbers below 2**bits, spread evenly over 64 bits, and how many of
+    its upper bits are in use.  Rows of up to 64 bits get a permutation (a Feistel network), so
+    different rows have different keys; longer ones get a hash."""
+    size = bits * len(columns)
+    if size > 64:
+        x = np.full(len(columns[0]), _EMPTY, dtype=_U)
+        for c in columns:
+            x = mix(x + c * _U(0x9E3779B97F4A7C15))
+        return x, 64
+    x = columns[0]
+    for c in columns[1:]:
+        x = (x << _U(bits)) | c
+    half = max(1, (size + 1) // 2)
+    mask = _U((1 << half) - 1)
+    left, right = x >> _U(half), x & mask
+    for r in range(4):
+        left, right = right, left ^ (mix(right + _U((r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & mask)
+    return ((left << _U(half)) | right) << _U(64 - 2 * half), 2 * half
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+
+
+def _packed(columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Rows in order, as differences from the row before within equal leading columns, by byte planes."""
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    bounds = np.searchsorted(_bucket(columns[0], buckets), np.arange(buckets + 1))
-    for b in range(buckets):
-        i, j = bounds[b], bounds[b + 1]
-        if i < j:
-            yield b, int(j - i), squeeze(b"".join([*(c[i:j].tobytes() for c in columns), n[i:j].astype("<u4").tobytes()]))
+    parts, same = [], np.ones(max(0, len(n) - 1), dtype=bool)
+    for c in columns:
+        d = c.copy()
+        d[1:] = np.where(same, c[1:] - c[:-1], c[1:])
+        same = same & (c[1:] == c[:-1])
+        parts.append(d)
+    parts.append(n)
+    planes = b"".join(p.astype("<u8").view("u1").reshape(-1, 8).T.tobytes() for p in parts)
+    return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def _unpacked(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
-    parts, counts = [[] for _ in range(width)], []
+    parts: list[list[np.ndarray]] = [[] for _ in range(width)]
+    counts = []
     for n, run in zip(table.column("n").to_pylist(), table.column("run").to_pylist()):
-        raw = expand(run)
+        raw = np.frombuffer(expand(run), "u1").reshape(width + 1, 8, n)
+        rows = [np.ascontiguousarray(r.T).view("<u8").ravel() for r in raw]
+        new = np.zeros(n, dtype=bool)
+        new[0] = True
         for c in range(width):
-            parts[c].append(np.frombuffer(raw, "<u8", n, c * n * 8))
-        counts.append(np.frombuffer(raw, "<u4", n, width * n * 8))
-    return [np.concatenate(p) for p in parts], np.concatenate(counts).astype(np.int64)
-
-
-def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
+            starts = np.flatnonzero(new)
+            sums = np.cumsum(rows[c])
+            column = sums - np.repeat(sums[starts] - rows[c][starts], np.diff(np.append(starts, n)))
+            new[1:] |= column[1:] != column[:-1]
+            parts[c].append(column)
+        counts.append(rows[width].astype(np.int64))
+    return [np.concatenate(p) for p in parts], np.concatenate(counts)
+
+
+def _run_batch(columns: list[np.ndarray], n: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A run for each bucket, from rows in order."""
+    bucket = _bucket(key, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = []
+    for b in np.flatnonzero(np.diff(bounds)):
+        at = order[bounds[b] : bounds[b + 1]]
+        rows.append((b, len(at), _packed([c[at] for c in columns], n[at])))
     b, n, run = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(n, pa.int64()), pa.array(run, pa.binary())], ["bucket", "n", "run"])
 
 
-def _gather(order: int, buckets: int, batches):
+def _save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
+    """Unsigned arrays as one file, so that one mapping serves them.  Write and rename: a task
+    that runs again leaves the same file."""
+    temporary = f"{folder}/{name}.{os.getpid()}.{os.urandom(4).hex()}"
+    with open(temporary, "wb") as out:
+        np.array([len(arrays), *(v for a in arrays for v in (a.itemsize, len(a)))], dtype="<u8").tofile(out)
+        for a in arrays:
+            a.tofile(out)
+            out.write(bytes(-a.nbytes % 8))
+    os.replace(temporary, f"{folder}/{name}")
+
+
+@lru_cache(maxsize=1 << 16)
+def _load(path: str) -> list[np.ndarray] | None:
+    """The arrays of ``_save``, mapped; none where a bucket has no rows."""
+    if not os.path.exists(path):
+        return None
+    raw = np.asarray(np.memmap(path, "u1", "r"))
+    m = int(raw[:8].view("<u8")[0])
+    sizes = raw[8 : 8 + 16 * m].view("<u8").astype(int).reshape(-1, 2)
+    at, out = 8 + 16 * m, []
+    for item, n in sizes:
+        out.append(raw[at : at + item * n].view(f"<u{item}"))
+        at += item * n + -(item * n) % 8
+    return out
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """``x`` in the smallest unsigned type that holds it."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else "u1")
+
+
+def _first_not_below(array: np.ndarray, low: np.ndarray, high: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first places in [low, high), where ``array`` is in order, that aren't below the
+    targets, and whether they hold them."""
+    low, right = low.copy(), high.copy()
+    todo = np.flatnonzero(low < right)
+    while len(todo):
+        middle = (low[todo] + right[todo]) >> 1
+        less = array[middle] < target[todo]
+        low[todo[less]] = middle[less] + 1
+        right[todo[~less]] = middle[~less]
+        todo = todo[low[todo] < right[todo]]
+    hit = low < high
+    hit[hit] = array[low[hit]] == target[hit]
+    return low, hit
+
+
+def _sorted_keys(keys: np.ndarray, used: int) -> list[np.ndarray]:
+    """Keys in order as [cells, lower halves]: 32 bits each, and where each value of the bits
+    above begins.  Where the cells would outweigh that, [none, keys]."""
+    values = keys >> _U(64 - used)
+    above = values >> _U(32)
+    cells = int(above[-1] - above[0]) + 1
+    if cells > max(1, len(keys) // 16):
+        return [np.zeros(0, "<u8"), keys]
+    offsets = np.searchsorted(above - above[0], np.arange(cells + 1).astype(_U))
+    return [np.concatenate([above[:1], offsets.astype(_U)]), (values & _U(0xFFFFFFFF)).astype("<u4")]
+
+
+def _find(cells: np.ndarray, held: np.ndarray, keys: np.ndarray, used: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys among those of ``_sorted_keys``, and whether they are there."""
+    if not len(cells):
+        place = np.searchsorted(held, keys)
+        hit = place < len(held)
+        hit[hit] = held[place[hit]] == keys[hit]
+        return place, hit
+    values = keys >> _U(64 - used)
+    cell = (values >> _U(32)).astype(np.int64) - int(cells[0])
+    inside = (cell >= 0) & (cell < len(cells) - 2)
+    offsets = cells[1:].astype(np.int64)
+    cell = np.where(inside, cell, 0)
+    return _first_not_below(held, offsets[cell], np.where(inside, offsets[cell + 1], offsets[cell]), (values & _U(0xFFFFFFFF)).astype("<u4"))
+
+
+def _small_counts(n: np.ndarray) -> list[np.ndarray]:
+    """Counts as a byte each; 255 stands for one from the list of places and counts."""
+    large = np.flatnonzero(n >= 255)
+    return [np.minimum(n, 255).astype("u1"), large.astype("<u8"), n[large].astype("<u8")]
+
+
+def _counts(small: np.ndarray, at: np.ndarray, large: np.ndarray, places: np.ndarray) -> np.ndarray:
+    out = small[places].astype(np.int64)
+    more = out == 255
+    out[more] = large[np.searchsorted(at, places[more].astype(_U))]
+    return out
+
+
+def _count_words(buckets: int, batches):
+    held: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    size = 0
+
+    def send():
+        words, n = _count([np.concatenate(held)], np.concatenate(counts))
+        return _run_batch(words, n, words[0], buckets)
+
+    for batch in batches:
+        for _, words, _ in word_batches(batch.column("text").to_pylist()):
+            distinct, n = np.unique(words, return_counts=True)
+            held.append(distinct)
+            counts.append(n)
+            size += len(distinct)
+            if size >= _BUFFER:
+                yield send()
+                held, counts, size = [], [], 0
+    if size:
+        yield send()
+
+
+def _merge_words(folder: str):
+    def merge(key, table):
+        """Write a bucket's words, the magnitude of each one's count and its rank within it."""
+        (words,), n = _count(*_unpacked(table, 1))
+        magnitude = np.frexp(n.astype(float))[1]
+        order = np.argsort(magnitude, kind="stable")
+        sizes = np.bincount(magnitude, minlength=64)
+        rank = np.empty(len(n), dtype=np.int64)
+        rank[order] = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        _save(folder, f"words-{key[0].as_py()}", [words, magnitude.astype("u1"), _narrow(rank)])
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64()))})
+
+    return merge
+
+
+class Words:
+    """The numbers of all words: by magnitude of their counts, then by bucket."""
+
+    def __init__(self, folder: str, sizes: np.ndarray):
+        self.folder, self.buckets = folder, len(sizes)
+        flat = sizes[:, ::-1].T.ravel()  # magnitudes downwards, buckets upwards
+        self.first = (np.cumsum(flat) - flat + 2).reshape(sizes.shape[1], -1)[::-1].astype(_U)
+        self.unknown = int(flat.sum()) + 2
+        self.bits = self.unknown.bit_length()
+
+    def ids(self, words: np.ndarray) -> np.ndarray:
+        distinct, inverse = np.unique(words, return_inverse=True)
+        out = np.full(len(distinct), self.unknown, dtype=_U)
+        bounds = np.searchsorted(_bucket(distinct, self.buckets), np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(bounds)):
+            if (part := _load(f"{self.folder}/words-{b}")) is None:
+                continue
+            held, magnitude, rank = part
+            place, hit = _find(held[:0], held, distinct[bounds[b] : bounds[b + 1]], 64)
+            place = place[hit]
+            out[bounds[b] + np.flatnonzero(hit)] = self.first[magnitude[place], b] + rank[place].astype(_U)
+        return out[inverse]
+
+
+def _gather(order: int, words: Words, batches):
     held: list[list[np.ndarray]] = []
     size = 0
 
     def send():
         columns, n = _count([np.concatenate(c) for c in zip(*held)], None)
-        return _run_batch(list(_runs(columns, n, buckets)))
+        return _run_batch(columns, n, _key(columns[: max(1, order - 1)], words.bits)[0], words.buckets)
 
     for batch in batches:
-        for _, words, counts in word_batches(batch.column("text").to_pylist()):
-            columns, _ = _columns(words, counts, order)
+        for _, hashed, counts in word_batches(batch.column("text").to_pylist()):
+            columns, _ = _columns(words.ids(hashed), counts, order)
             held.append(columns)
             size += len(columns[0])
             if size >= _BUFFER:
@@ -130,41 +317,40 @@ def _gather(order: int, buckets: int, batches):
         yield send()
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Write and rename: a task that runs again leaves the same file."""
-    temporary = f"{folder}/{name}.{os.getpid()}.{os.urandom(4).hex()}"
-    array.tofile(temporary)
-    os.replace(temporary, f"{folder}/{name}")
-
-
-def _merge(folder: str, level: int, buckets: int, key, table: pa.Table) -> pa.Table:
-    """Merge a bucket: write keys, counts and contexts, and return the next lower order's runs."""
-    bucket = key[0].as_py()
+def _merge(folder: str, level: int, bits: int, buckets: int, key, table: pa.Table) -> pa.Table:
+    """Merge a bucket: write its arrays and return the next lower order's runs."""
     columns, n = _count(*_unpacked(table, level))
-    first, word = columns[0], columns[-1]
-    full = mix(first + word * _U(0xC2B2AE3D27D4EB4F)) if level > 1 else word
-    place = np.argsort(full)
-    _save(folder, f"{level}-{bucket}.keys", full[place])
-    _save(folder, f"{level}-{bucket}.counts", np.minimum(n[place], 0xFFFFFFFF).astype("<u4"))
-    kinds = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int(n.sum())] + [int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum()), len(n)]
-    rows = []
+    lower = None
     if level > 1:
-        new = np.ones(len(first), dtype=bool)
-        new[1:] = first[1:] != first[:-1]
+        suffixes, kinds = _count(columns[1:], None)
+        lower = _run_batch(suffixes, kinds, _key(suffixes[: max(1, level - 2)], bits)[0], buckets)
+    x, used = _key(columns[: max(1, level - 1)], bits)
+    order = np.lexsort((columns[-1], x))
+    x, word, n = x[order], columns[-1][order], n[order]
+    stats = np.array([*(int((n == k).sum()) for k in (1, 2, 3, 4)), n.sum(), (n == 1).sum(), (n == 2).sum(), (n > 2).sum(), len(n)], dtype="<u8")
+    if level == 1:
+        arrays = [stats, *_sorted_keys(x, used), *_small_counts(n)]
+    else:
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = x[1:] != x[:-1]
         starts = np.flatnonzero(new)
-        _save(folder, f"{level}-{bucket}.contexts", first[starts])
-        _save(folder, f"{level}-{bucket}.sums", np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in (n, n == 1, n == 2, n > 2)], axis=1).astype("<f8"))
-        rows = list(_runs(*_count(columns[1:], None), buckets))
-    batch = _run_batch(rows)
-    stats = [pa.array([v if i == 0 else 0 for i in range(len(rows) + 1)], pa.int64()) for v in kinds]
-    # the first row carries the statistics and no run
-    head = [pa.concat_arrays([pa.array([-1], pa.int32()), batch.column(0)]), pa.concat_arrays([pa.array([0], pa.int64()), batch.column(1)]), pa.concat_arrays([pa.array([b""], pa.binary()), batch.column(2)])]
-    return pa.Table.from_arrays([*head, *stats], ["bucket", "n", "run", *_STATS])
-
-
-def _merger(folder: str, level: int, buckets: int):
+        sums = np.stack([np.add.reduceat(v.astype(np.int64), starts) for v in (n, n == 1, n == 2, n > 2)])
+        # contexts share few different sums: each row is kept once
+        rows, at = _count(list(sums), None)[0], np.lexsort(sums[::-1])
+        differ = np.zeros(len(starts), dtype=np.int64)
+        differ[1:] = (np.diff(sums[:, at], axis=1) != 0).any(axis=0)
+        which = np.empty(len(starts), dtype=np.int64)
+        which[at] = np.cumsum(differ)
+        offsets = np.append(starts, len(x))
+        base = offsets[::_BLOCK]
+        arrays = [stats, *_sorted_keys(x[starts], used), base.astype("<u8"), _narrow(offsets - np.repeat(base, _BLOCK)[: len(offsets)]), _narrow(which), np.stack(rows, axis=1).ravel().astype("<u8"), _narrow(word), *_small_counts(n)]
+    _save(folder, f"{level}-{key[0].as_py()}", arrays)
+    return pa.Table.from_batches([lower if lower is not None else _run_batch([], n[:0], x[:0], buckets)])
+
+
+def _merger(folder: str, level: int, bits: int, buckets: int):
     def merge(key, table):
-        return _merge(folder, level, buckets, key, table)
+        return _merge(folder, level, bits, buckets, key, table)
 
     return merge
 
@@ -180,77 +366,54 @@ def _discounts(s) -> tuple[float, float, float]:
 
 
 class Model:
-    """A trained model: where its arrays lie, and a few numbers for each order."""
+    """A trained model: where its arrays lie, its words, and a few numbers for each order."""
 
-    def __init__(self, folder: str, order: int, buckets: int, stats: list[dict]):
-        self.folder, self.order, self.buckets, self.stats = folder, order, buckets, stats
-
-    def _levels(self) -> list["_Level"]:
-        return [_level(self.folder, k, self.buckets) for k in range(1, self.order + 1)]
+    def __init__(self, folder: str, order: int, words: Words, stats: list[dict]):
+        self.folder, self.order, self.words, self.stats = folder, order, words, stats
 
     def log_probabilities(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probabilities of all words and ends of a run of texts, and their number per text."""
-        columns, places = _columns(words, counts, self.order)
+        columns, places = _columns(self.words.ids(words), counts, self.order)
         word, p = columns[-1], None
-        for k, level in enumerate(self._levels(), 1):
+        for k in range(1, self.order + 1):
             s, d = self.stats[k - 1], np.array([0.0, *_discounts(self.stats[k - 1])])
+            n, sums = self._look(k, columns[self.order - k : -1], word)
             if k == 1:
-                n = level.count(word, word)
                 rest = d[1] * s["t1"] + d[2] * s["t2"] + d[3] * s["t3"]
                 p = (n - d[np.minimum(n, 3)]) / s["total"] + rest / s["total"] / (s["kinds"] + 1)
             else:
-                context = columns[self.order - k]
-                n = level.count(mix(context + word * _U(0xC2B2AE3D27D4EB4F)), context)
-                sums = level.sums(context)
                 seen = sums[:, 0] > 0
                 total = np.where(seen, sums[:, 0], 1.0)
                 back = np.where(seen, (sums[:, 1:] @ d[1:]) / total, 1.0)
                 p = (n - d[np.minimum(n, 3)]) / total + back * p
         return np.log(p), places
 
-
-class _Level:
-    """Mapped arrays of one order, opened when first used."""
-
-    def __init__(self, folder: str, level: int, buckets: int):
-        self._name, self._buckets, self._open = f"{folder}/{level}-", buckets, {}
-
-    def _map(self, name: str, dtype: str) -> np.ndarray:
-        if name not in self._open:
-            path = self._name + name
-            self._open[name] = np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
-        return self._open[name]
-
-    def _find(self, keys: np.ndarray, by: np.ndarray, kind: str):
-        """(positions in ``keys``, bucket, places in the bucket's array) of the keys that are there."""
-        bucket = _bucket(by, self._buckets)
-        order = np.lexsort((keys, bucket))
-        bounds = np.searchsorted(bucket[order], np.arange(self._buckets + 1))
+    def _look(self, level: int, context: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the words after their contexts, and the contexts' sums."""
+        x, used = _key(context or [word], self.words.bits)
+        order = np.argsort(x)
+        x, ordered = x[order], word[order]
+        n, sums = np.zeros(len(x), dtype=np.int64), np.zeros((len(x), 4))
+        bounds = np.searchsorted(_bucket(x, self.words.buckets), np.arange(self.words.buckets + 1))
         for b in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[b] : bounds[b + 1]]
-            there = self._map(f"{b}.{kind}", "<u8")
-            place = np.searchsorted(there, keys[at])
-            hit = place < len(there)
-            hit[hit] = there[place[hit]] == keys[at[hit]]
-            yield at[hit], b, place[hit]
-
-    def count(self, keys: np.ndarray, by: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=np.int64)
-        for at, b, place in self._find(keys, by, "keys"):
-            out[at] = self._map(f"{b}.counts", "<u4")[place]
-        return out
-
-    def sums(self, contexts: np.ndarray) -> np.ndarray:
-        distinct, inverse = np.unique(contexts, return_inverse=True)
-        out = np.zeros((len(distinct), 4))
-        for at, b, place in self._find(distinct, distinct, "contexts"):
-            out[at] = self._map(f"{b}.sums", "<f8").reshape(-1, 4)[place]
-        return out[inverse]
-
-
-@lru_cache(maxsize=8)
-def _level(folder: str, level: int, buckets: int) -> _Level:
-    return _Level(folder, level, buckets)
+            if (part := _load(f"{self.folder}/{level}-{b}")) is None:
+                continue
+            own = slice(bounds[b], bounds[b + 1])
+            new = np.ones(bounds[b + 1] - bounds[b], dtype=bool)
+            new[1:] = x[own][1:] != x[own][:-1]
+            group = np.cumsum(new) - 1
+            place, hit = _find(part[1], part[2], x[own][new], used)
+            at = np.flatnonzero(hit[group])
+            place, to = place[group[at]], order[own][at]
+            if level == 1:
+                n[to] = _counts(*part[3:], place)
+                continue
+            base, distance, which, kinds, words, *counts = part[3:]
+            sums[to] = kinds.reshape(-1, 4)[which[place]]
+            low, high = (base[i // _BLOCK].astype(np.int64) + distance[i] for i in (place, place + 1))
+            found, there = _first_not_below(words, low, high, ordered[own][at])
+            n[to[there]] = _counts(*counts, found[there])
+        return n, sums
 
 
 def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Model:
@@ -260,14 +423,20 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Mo
     buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = _local(new_path(spark, "ngrams"))
     os.makedirs(folder, exist_ok=True)
-    runs = pick(docs, "text").where("text <> ''").mapInArrow(partial(_gather, order, buckets), _RUNS)
-    stats: list[dict] = []
+    texts = pick(docs, "text").where("text <> ''")
+    sizes = np.zeros((buckets, 64), dtype=np.int64)
+    for r in texts.mapInArrow(partial(_count_words, buckets), _RUNS).groupBy("bucket").applyInArrow(_merge_words(folder), "bucket int, sizes array<long>").collect():
+        sizes[r["bucket"]] = r["sizes"]
+    words = Words(folder, sizes)
+    runs = texts.mapInArrow(partial(_gather, order, words), _RUNS)
     for level in range(order, 0, -1):
-        merged = runs.groupBy("bucket").applyInArrow(_merger(folder, level, buckets), _MERGED)
-        merged = written(merged, f"ngrams-{level}")
-        stats.insert(0, merged.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in _STATS]).first().asDict())
-        runs = merged.where("bucket >= 0").select("bucket", "n", "run")
-    return Model(folder, order, buckets, stats)
+        runs = runs.groupBy("bucket").applyInArrow(_merger(folder, level, words.bits, buckets), _RUNS)
+    runs.write.format("noop").mode("overwrite").save()
+    stats = []
+    for level in range(1, order + 1):
+        parts = [part[0] for b in range(buckets) if (part := _load(f"{folder}/{level}-{b}")) is not None]
+        stats.append(dict(zip(_STATS, np.sum(parts, axis=0, dtype=np.int64).tolist() if parts else [0] * len(_STATS))))
+    return Model(folder, order, words, stats)
 
 
 def _score(model: Model, batches):

@@ -50,6 +50,34 @@ def test_model_against_dictionaries(spark, order):
     assert np.allclose([r.perplexity for r in got], [math.exp(-w / r.n_tokens) for w, r in zip(want, got)])
 
 
+def test_default_model_sees_two_words_back(spark):
+    """Also words and contexts with counts beyond a byte, and several runs for a bucket."""
+    texts = ["a b c", "x b d"] * 150 + ["a b d"] + [prose(30, i % 9) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = knlm.perplexities(docs, buckets=2).orderBy("doc_id").collect()
+    assert np.allclose([r.log_prob for r in got], _brute_log_p(texts, 3))
+    assert got[300].perplexity > 2 * got[0].perplexity
+
+
+def test_model_of_long_contexts(spark):
+    """Contexts beyond 64 bits are hashed."""
+    texts = [prose(25, i % 6) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = knlm.perplexities(docs, 12, buckets=3).orderBy("doc_id").collect()
+    assert np.allclose([r.log_prob for r in got], _brute_log_p(texts, 12))
+
+
+@pytest.mark.parametrize("used", [20, 38, 64])
+def test_sorted_keys_are_found(used):
+    rng = np.random.default_rng(used)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) << np.uint64(1)) >> np.uint64(64 - used) << np.uint64(64 - used)
+    keys = np.unique(keys)
+    held = knlm._sorted_keys(keys[::2], used)
+    assert bool(len(held[0])) == (used < 64)
+    place, hit = knlm._find(*held, keys, used)
+    assert (hit == (np.arange(len(keys)) % 2 == 0)).all() and (place[::2] == np.arange(len(place[::2]))).all()
+
+
 def test_held_out_text_is_less_likely(spark):
     texts = [(i, " ".join(prose(30, i % 5).split(" ") * 3), "en", "a", 1) for i in range(30)]
     model = knlm.train(spark.createDataFrame(texts, SCHEMA))
