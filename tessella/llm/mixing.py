@@ -190,8 +190,9 @@ def draw_slots(spark, sources: list[str], n_blocks: list[int], weights: list[flo
 def mix_blocks(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, temperature: float = TEMPERATURE, seed: int = SEED, tokenizer: str = TOKENIZER, with_text: bool = False) -> DataFrame:
     """(shard, slot, source, epoch, block, n_tokens, tokens, segments): one row for each slot.
 
-    ``weights`` are target shares by source (missing ones get nothing, those of absent sources
-    are ignored); by default a source's tokens to the power ``temperature``.  There are
+    ``weights`` are target shares of tokens by source (missing ones get nothing, those of absent
+    sources are ignored); padding doesn't count, so a source whose blocks are less full is drawn
+    more often.  By default a weight is a source's tokens to the power ``temperature``.  There are
     ``epochs`` times as many slots as blocks.  A source that is drawn more often than it has
     blocks starts again in another order, so none of its blocks comes twice before all came once.
     Equal rows are drawn as separate ones.  Without any tokens or weight the result is empty.
@@ -203,7 +204,7 @@ def mix_blocks(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     by_task = blocks.groupBy("source", "pid").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
     totals = {r["source"]: (r["n"], r["tokens"]) for r in by_task.groupBy("source").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()}
     share = {s: (weights.get(s, 0.0) if weights is not None else t**temperature) for s, (_, t) in sorted(totals.items())}
-    share = {s: w for s, w in share.items() if w > 0}
+    share = {s: w * totals[s][0] / totals[s][1] for s, w in share.items() if w > 0}  # of slots: by the mean tokens of a block
     output = ["shard", "slot", "source", "epoch", "block", "n_tokens", "tokens", "segments"]
     if not share:
         schema = "shard long, slot int, source string, epoch long, block long, " + _BLOCKS.split("at long, ")[1]

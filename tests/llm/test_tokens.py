@@ -58,6 +58,15 @@ def test_mixture_reaches_weights(spark):
         assert {r.block for r in own} <= set(range(totals[s]))
 
 
+def test_weights_hold_by_tokens(spark):
+    """A source with a few tokens in each input split has padded blocks only."""
+    rows = [(i, prose(30 if i % 2 else 2000, i), "en", "rb"[i % 2 == 0], 1) for i in range(16)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    mixed = mixing.mix_blocks(docs, {"r": 0.5, "b": 0.5}, epochs=20.0, block_tokens=512).groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    tokens_of = {r.source: r.n for r in mixed.collect()}
+    assert abs(tokens_of["r"] / sum(tokens_of.values()) - 0.5) < 0.05
+
+
 def test_mixed_documents_are_cut_at_characters(spark):
     rows = [(i, "漢字 é😀 " * (30 + i), "zh", "s", 1) for i in range(10)]
     docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
