@@ -47,7 +47,8 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
 
     Malformed markup never fails: an end tag without a start is skipped, open tags end with their
     parents, and an unfinished tag or comment ends the page.  Comments, scripts, styles and other
-    raw elements give no text.
+    raw elements give no text; a script or style without an end tag ends the page, of another raw
+    element only the tag is left out.
     """
     out: list[tuple[str, tuple[str, ...], int]] = []
     if not page:
@@ -56,6 +57,7 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     parts: list[str] = []
     linked = links = 0
     path: tuple[str, ...] = ()
+    endless: set[str] = set()
 
     def flush():
         nonlocal linked
@@ -92,8 +94,15 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                 path = stack[-1][1] if stack else ()
             continue
         if name in _RAW:
+            if name in endless or name in ("svg", "math") and m[0].endswith("/>"):
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            else:
+                endless.add(name)
             continue
         if name in _VOID:
             if name in ("br", "hr"):

@@ -217,6 +217,12 @@ def test_leaves():
     assert got[0][2] == 4
 
 
+@pytest.mark.parametrize("tag", ["<svg width='1'/>", "<math/>", "<iframe src='x'>", "<svg>", "<title>"])
+def test_raw_elements_without_an_end_hide_nothing_else(tag):
+    assert [t for t, *_ in htmlblocks.leaves(f"<p>one{tag}<p>two<div>three</div>")] == ["one", "two", "three"]
+    assert [t for t, *_ in htmlblocks.leaves("<p>one<svg/><p>two<svg><p>no</svg><p>three<script>x<p>y")] == ["one", "two", "three"]
+
+
 def _odd_pages():
     return [(1, "http://a/1", _page(1)), (1, "http://a/1", _page(1)), (2, None, _page(2)), (None, "http://a/3", _page(1)), (4, "http://a/4", None), (5, "http://a/5", ""), (6, "http://a b/\n6", "é漢" * 50), (7, "u", "<p>" + prose(60_000, 1) + "</p>")]
 
