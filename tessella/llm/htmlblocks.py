@@ -118,7 +118,7 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if closes and stack and stack[-1][0] in closes:
             stack.pop()
             path = stack[-1][1] if stack else ()
-        names = ["." + n for v in _NAMES.findall(m[3]) for n in "".join(v).lower().split()[:4]] if m[3] else []
+        names = ["." + n for v in _NAMES.findall(m[3]) for n in "".join(v).lower().split()] if m[3] else []
         path = (*path, name, *names)
         if not m[0].endswith("/>"):
             stack.append((name, path))

@@ -223,6 +223,11 @@ def test_raw_elements_without_an_end_hide_nothing_else(tag):
     assert [t for t, *_ in htmlblocks.leaves("<p>one<svg/><p>two<svg><p>no</svg><p>three<script>x<p>y")] == ["one", "two", "three"]
 
 
+def test_every_class_counts():
+    (_, path, _), = htmlblocks.leaves("<main><p class='a b c d sidebar'>x</p></main>")
+    assert path[-1] == ".sidebar" and not htmlblocks.weak_label(path)
+
+
 def _odd_pages():
     return [(1, "http://a/1", _page(1)), (1, "http://a/1", _page(1)), (2, None, _page(2)), (None, "http://a/3", _page(1)), (4, "http://a/4", None), (5, "http://a/5", ""), (6, "http://a b/\n6", "é漢" * 50), (7, "u", "<p>" + prose(60_000, 1) + "</p>")]
 
