@@ -1,78 +1,109 @@
-"""Exact deduplication by progressive refinement: length, then prefix hash, then full hash."""
+"""Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
+
+Each stage counts a narrow key of the rows that the stage before left, with partial sums before
+the shuffle, and passes on which keys are shared.  That goes back to the scan as a bitmap of key
+hashes, of bounded size whatever the input: a row whose bit isn't set is certainly alone, and one
+whose bit is set by another key costs one more hash and falls out at the next count.  So at every
+size no text is shuffled to be judged, and the next, dearer hash is taken of survivors only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import BROADCAST_ROWS, packed, pick, small, unpacked, written
+from tessella.llm.common import packed, pick, sized, unpacked, written
 
 PREFIX_CHARS = 256
+#: Originals (rows of about 150 bytes) up to this number are broadcast, others joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Bits for each shared key, and the greatest bitmap (64 MB): beyond 2**25 shared keys more rows pass by chance.
+KEY_BITS, MAP_BITS = 16, 29
+_CELL = 15  # bits in a row of the collected bitmap, as a power of two
 
 
-def _keys(rows: DataFrame, prefix_chars: int) -> DataFrame:
-    """Length in bytes and hash of the first characters; neither hashes more than the prefix."""
-    return rows.withColumn("size", F.octet_length("text")).withColumn("prefix", F.xxhash64(F.substring("text", 1, prefix_chars)))
+def _shared(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the hashes (``key``) that more than one row has, and its bits as a power of two."""
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "exact-keys")
+    power = min(MAP_BITS, (KEY_BITS * max(shared.count(), 1)).bit_length())
+    bit = F.shiftrightunsigned("key", 64 - power)
+    cells = shared.select(F.expr(f"{1 << _CELL}").alias("size"), bit.alias("bit")).groupBy(F.expr("bit div size").alias("cell")).agg(F.bitmap_construct_agg(F.expr("bit % size")).alias("map"))
+    out = np.zeros((1 << max(0, power - _CELL), (1 << _CELL) // 8), dtype=np.uint8)
+    for r in cells.collect():  # at most 2**MAP_BITS bits
+        out[r["cell"]] = np.frombuffer(r["map"], dtype=np.uint8)
+    return out.ravel(), power
 
 
-def _shared_keys(docs: DataFrame, prefix_chars: int) -> DataFrame:
-    """(size, prefix) that more than one text has.
+def _within(docs: DataFrame, keys: DataFrame):
+    """A function of a key column: whether its bit is set by a shared key; null gives false."""
+    bitmap, power = _shared(keys)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    Lengths are refined first: only rows of a shared length come to be counted by prefix.  Both
-    counts combine before their shuffles, so a popular length is no hot key.
-    """
-    narrow = _keys(pick(docs, "text").where("text is not null"), prefix_chars).groupBy("size", "prefix").agg(F.count("*").alias("n"))
-    by_size = Window.partitionBy("size")
-    lone = F.sum("n").over(by_size) == 1
-    return narrow.withColumn("lone", lone).where("not lone and n > 1").select("size", "prefix")
+    @F.pandas_udf("boolean")
+    def within(key: pd.Series) -> pd.Series:
+        at = key.to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(64 - power)
+        return pd.Series(shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0)
 
+    return lambda key: within(F.coalesce(key, F.lit(0).cast("long"))) & key.isNotNull()
 
-def _survivors(docs: DataFrame, prefix_chars: int, broadcast_rows: int, rows: DataFrame) -> tuple[DataFrame, bool]:
-    """``rows`` with ``full``, the whole text's hash, for those whose (size, prefix) is shared
-    and null for the others.
 
-    Few shared keys are broadcast, and only the surviving rows' contents are hashed.  Beyond
-    ``broadcast_rows`` the hash is taken in the scan, so that still no text is shuffled.
-    """
-    shared = written(_shared_keys(docs, prefix_chars), "exact-keys").withColumn("shared", F.lit(True))
-    keyed = _keys(rows, prefix_chars)
-    full = F.sha2("text", 256)
-    if small(shared, broadcast_rows):
-        return keyed.join(F.broadcast(shared), ["size", "prefix"], "left").withColumn("full", F.when(F.col("shared"), full)).drop("shared"), True
-    return keyed.withColumn("full", full), False
+def _prefix(prefix_chars: int) -> Column:
+    return F.xxhash64(F.octet_length("text"), F.substring("text", 1, prefix_chars))
+
+
+def refined(docs: DataFrame, rows: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """``rows`` (text and more) with what each stage finds among ``docs``: ``by_length`` and
+    ``by_prefix`` tell whether the row survives it, ``full`` is the SHA-256 of a survivor's whole
+    text and null for others; ``size`` is the length in bytes.  Null texts survive nothing."""
+    texts = pick(docs, "text").where("text is not null")
+    length = F.xxhash64(F.octet_length("text"))
+    of_length = _within(docs, texts.select(length.alias("key")))
+    left = texts.where(of_length(length))
+    of_prefix = _within(docs, left.select(_prefix(prefix_chars).alias("key")))
+    marked = rows.withColumn("by_length", of_length(F.when(F.col("text").isNotNull(), length)))
+    marked = marked.withColumn("by_prefix", of_prefix(F.when(F.col("by_length"), _prefix(prefix_chars))))
+    return marked.withColumn("size", F.octet_length("text")).withColumn("full", F.when(F.col("by_prefix"), F.sha2("text", 256)))
 
 
-def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """Copies: (doc_id, duplicate_of, full_hash) for each row whose text an earlier row has.
 
-    ``duplicate_of`` is the smallest doc_id with that text (null ids come last); it has no row of
-    its own, but a repeated row of the same doc_id has one, of (doc_id, doc_id).  Empty texts are
-    equal to each other.  A null text is a copy of nothing.  Other columns don't matter.  An empty
-    table gives no rows.
+    ``duplicate_of`` is the smallest doc_id with that text (null ids come last); one row of it is
+    the original and has no row here, but a repeated row of the same doc_id has one, of (doc_id,
+    doc_id).  Empty texts are equal to each other.  A null text is a copy of nothing.  Very long
+    texts are hashed whole, like others.  Other columns don't matter.  An empty table gives no rows.
+
+    A text that a third of all rows have is no hot key: originals are found by partial minima and
+    joined back to narrow rows.
+    """
+    rows = refined(docs, pick(docs, "doc_id", "text"), prefix_chars).where("full is not null")
+    copies = written(rows.select("doc_id", "size", "full", F.monotonically_increasing_id().alias("at")), "exact-survivors")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "at")
+    first = copies.groupBy("full", "size").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = copies.join(sized(written(first, "exact-originals"), BROADCAST_ROWS), ["full", "size"])
+    return found.where("at <> first.at").select("doc_id", F.col("first.doc_id").alias("duplicate_of"), F.col("full").alias("full_hash"))
+
+
+def drop_exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """``docs`` with one row of each text: that of the smallest doc_id (nulls last), of several
+    such rows the one whose columns have the smallest hash.  Rows with a null text all stay.
+    Extra columns stay as they are, also with clashing names; an empty table gives no rows.
+
+    Rows that are alone by length or prefix pass without a shuffle.  Copies are judged by narrow
+    rows; only where the original itself is repeated its rows come together, after partial ones.
     """
-    rows, _ = _survivors(docs, prefix_chars, broadcast_rows, pick(docs, "doc_id", "text"))
-    rows = rows.where("full is not null").select("doc_id", "size", "full")
-    group = Window.partitionBy("full", "size").orderBy(F.col("doc_id").asc_nulls_last())
-    ranked = rows.select("doc_id", F.first("doc_id").over(group).alias("duplicate_of"), F.col("full").alias("full_hash"), F.row_number().over(group).alias("at"))
-    return ranked.where("at > 1").drop("at")
-
-
-def drop_exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with one row of each text: that of the smallest doc_id (nulls last).  Rows with a
-    null text all stay.  Rows whose text is unique by length or prefix pass without a shuffle."""
-    rows, few = _survivors(docs, prefix_chars, broadcast_rows, packed(docs, "doc_id", "text"))
-    group = Window.partitionBy("full", "size").orderBy(F.col("doc_id").asc_nulls_last())
-    if few:
-        single = rows.where("full is null")
-        first = rows.where("full is not null").drop("text").withColumn("at", F.row_number().over(group)).where("at = 1")
-        return unpacked(single.select("row").unionByName(first.select("row")), docs)
-    losers = written(exact_losers(rows), "exact-losers")
-    kept = rows.join(losers, ["full", "size"], "left").where("first_id is null or doc_id <=> first_id.id")
-    repeated = kept.where("first_id is not null").withColumn("at", F.row_number().over(group)).where("at = 1")
-    return unpacked(kept.where("first_id is null").select("row").unionByName(repeated.select("row")), docs)
-
-
-def exact_losers(rows: DataFrame) -> DataFrame:
-    """(full, size, first_id) of the texts that several rows have."""
-    key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"))
-    return rows.where("full is not null").groupBy("full", "size").agg(F.min(key).alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = refined(docs, packed(docs, "doc_id", "text"), prefix_chars)
+    plain = [F.col("row")[f.name] for f in rows.schema["row"].dataType.fields if "map<" not in f.dataType.simpleString()]
+    rows = rows.withColumn("hash", F.xxhash64(*plain))
+    alone = rows.where("full is null")
+    copies = rows.where("full is not null").drop("text")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "hash")
+    counted = copies.groupBy("full", "size", "doc_id", "hash").agg(F.count("*").alias("n"))
+    first = written(counted.groupBy("full", "size").agg(F.min(order).alias("first"), F.min_by("n", order).alias("n"), F.sum("n").alias("all")).where("all > 1"), "exact-originals")
+    judged = copies.join(sized(first, BROADCAST_ROWS), ["full", "size"], "left").where("first is null or (hash = first.hash and doc_id <=> first.doc_id)")
+    kept = alone.select("row").unionByName(judged.where("n is null or n = 1").select("row"))
+    if not first.where("n > 1").isEmpty():
+        kept = kept.unionByName(judged.where("n > 1").groupBy("full", "size").agg(F.first("row").alias("row")).select("row"))
+    return unpacked(kept, docs)

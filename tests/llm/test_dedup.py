@@ -36,12 +36,44 @@ def test_exact_rows(spark, make):
             if text in first:
                 want.append((doc_id, first[text]))
             first.setdefault(text, doc_id)
-    for limit in (0, 1000):
-        got = exact.exact_duplicates(docs, broadcast_rows=limit)
-        assert sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted(want, key=str)
-        kept = exact.drop_exact_duplicates(docs, broadcast_rows=limit)
-        assert kept.columns == docs.columns
-        assert kept.count() == len(odd_rows()) - len(want)
+    got = exact.exact_duplicates(docs)
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted(want, key=str)
+    kept = exact.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len(odd_rows()) - len(want)
+
+
+def test_exact_stages_leave_fewer_rows(spark):
+    """Only rows of a shared length have their prefix hashed, and only those of a shared prefix their whole text."""
+    long = prose(400, 9)
+    texts = ["alone", "same length 1", "same length 2", long + "a", long + "b", long + "b", None, "alone too"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    rows = {r.doc_id: r for r in exact.refined(docs, docs.select("doc_id", "text")).collect()}
+    assert [i for i, r in rows.items() if r.by_length] == [1, 2, 3, 4, 5]
+    assert [i for i, r in rows.items() if r.by_prefix] == [3, 4, 5]
+    assert [i for i, r in rows.items() if r.full] == [3, 4, 5]
+    assert {(r.doc_id, r.duplicate_of) for r in exact.exact_duplicates(docs).collect()} == {(5, 4)}
+
+
+def test_exact_survives_a_full_bitmap(spark, monkeypatch):
+    """With one bit for many keys rows pass by chance, and results are the same."""
+    monkeypatch.setattr(exact, "MAP_BITS", 3)
+    texts = [prose(3 + i % 40, i % 60) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    assert {(r.doc_id, r.duplicate_of) for r in exact.exact_duplicates(docs).collect()} == {(i, first[t]) for i, t in enumerate(texts) if first[t] != i}
+    assert {r.doc_id for r in exact.drop_exact_duplicates(docs).collect()} == set(first.values())
+
+
+def test_exact_ties(spark):
+    """Of rows that differ in other columns only one stays, the same one whatever their order."""
+    rows = [(1, "twice", "en", "a", 1), (1, "twice", "de", "b", 2), (1, "twice", "de", "b", 2), (2, "twice", "en", "a", 1), (None, "twice", "en", "a", 1)]
+    kept = [exact.drop_exact_duplicates(spark.createDataFrame(r, SCHEMA)).collect() for r in (rows, rows[::-1])]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] and kept[0][0].doc_id == 1
+    got = exact.exact_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.duplicate_of) for r in got), key=str) == [(1, 1), (1, 1), (2, 1), (None, 1)]
 
 
 def test_exact_needs_whole_texts(spark):
