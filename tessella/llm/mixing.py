@@ -28,7 +28,10 @@ SHARD_SLOTS = 256
 #: Default weights are tokens to this power.
 TEMPERATURE = 0.7
 SEED = 17
-_GROUP = 4096  # shards whose draws one row stands for
+#: Sources are listed on the driver and in each draw; more than this many are an error, not cut off.
+MAX_SOURCES = 65_536
+_GROUP = 128  # shards whose draws one row stands for
+_TAILS = 4096  # input splits whose last blocks are brought together
 _SPAN = 4096  # block indices in a bucket of the range join
 _SEGMENT = pa.struct([("doc_id", pa.int64()), ("start", pa.int32()), ("n_tokens", pa.int32()), ("lang", pa.string()), ("text", pa.string())])
 _BLOCKS = "pid int, source string, at long, n_tokens int, tokens binary, segments array<struct<doc_id: long, start: int, n_tokens: int, lang: string, text: string>>"
@@ -117,11 +120,43 @@ def pack_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, tokenizer: st
     (and then without ``tokens``).
 
     Documents follow each other as the input's files have them, with an end-of-text id after
-    each; the last block of a source in each input split is padded with that id, and ``n_tokens``
-    doesn't count the padding.  Null and empty texts give nothing.  A null source counts as "".
+    each.  The last, partial blocks that a source has in the input splits are joined as long as
+    they fit into one, and padded with that id; ``n_tokens`` doesn't count the padding.  Null and
+    empty texts give nothing.  A null source counts as "".  Long texts run over many blocks.
     """
     rows = pick(docs, "doc_id", "text", "lang", "source").withColumn("source", F.coalesce("source", F.lit("")))
-    return written(rows.mapInArrow(partial(_pack, block_tokens, tokenizer, with_text), _BLOCKS), "mix-blocks")
+    packed = written(rows.mapInArrow(partial(_pack, block_tokens, tokenizer, with_text), _BLOCKS), "mix-blocks")
+    tails = packed.where(F.col("n_tokens") < block_tokens)
+    bins = tails.select("source", "pid", "at", "n_tokens", F.expr(f"pid div {_TAILS}").cast("int").alias("grp")).groupBy("source", "grp").applyInPandas(lambda own: _binned(block_tokens, own), "source string, pid int, at long, grp int, bin long")
+    joined = tails.join(bins, ["source", "pid", "at"]).groupBy("source", "grp", "bin").agg(F.sort_array(F.collect_list(F.struct("pid", "n_tokens", "tokens", "segments"))).alias("parts"))
+    joined = joined.select((-F.col("grp") - 1).alias("pid"), "source", F.col("bin").alias("at"), F.aggregate("parts", F.lit(0), lambda n, p: n + p["n_tokens"]).alias("n_tokens"), F.transform("parts", lambda p: p["tokens"]).alias("tokens"), F.transform("parts", lambda p: p["n_tokens"]).alias("used"), F.flatten(F.transform("parts", lambda p: p["segments"])).alias("segments"))
+    joined = written(joined.mapInArrow(partial(_padded, block_tokens, tokenizer), _BLOCKS), "mix-tails")
+    return packed.where(F.col("n_tokens") == block_tokens).unionByName(joined)
+
+
+def _binned(block_tokens: int, tails: pd.DataFrame) -> pd.DataFrame:
+    """Which block each of a source's partial blocks goes to: in order, a new one when the next doesn't fit."""
+    tails = tails.sort_values(["pid", "at"])
+    number, used, bins = 0, 0, []
+    for n in tails["n_tokens"]:
+        if used + n > block_tokens:
+            number, used = number + 1, 0
+        used += n
+        bins.append(number)
+    return tails[["source", "pid", "at", "grp"]].assign(bin=bins)
+
+
+def _padded(block_tokens: int, tokenizer: str, batches):
+    enc = encoder(tokenizer)
+    for batch in batches:
+        tokens = []
+        for parts, used in zip(batch.column("tokens").to_pylist(), batch.column("used").to_pylist()):
+            if parts[0] is None:
+                tokens.append(None)
+                continue
+            ids = [np.frombuffer(p, enc.dtype)[:n] for p, n in zip(parts, used)]
+            tokens.append(np.concatenate([*ids, np.full(block_tokens - sum(used), enc.eot, enc.dtype)]).tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pid", "source", "at", "n_tokens")), pa.array(tokens, pa.binary()), batch.column("segments")], ["pid", "source", "at", "n_tokens", "tokens", "segments"])
 
 
 def permuted(index: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
@@ -195,13 +230,16 @@ def mix_blocks(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     more often.  By default a weight is a source's tokens to the power ``temperature``.  There are
     ``epochs`` times as many slots as blocks.  A source that is drawn more often than it has
     blocks starts again in another order, so none of its blocks comes twice before all came once.
-    Equal rows are drawn as separate ones.  Without any tokens or weight the result is empty.
+    Equal rows are drawn as separate ones.  Without any tokens or weight the result is empty, also
+    for an empty table.  Null texts and other columns don't matter, long texts run over many blocks.
 
     Blocks are shuffled once, by their names; all else that moves is narrow.
     """
     blocks = pack_blocks(docs, block_tokens, tokenizer, with_text)
     spark = docs.sparkSession
     by_task = blocks.groupBy("source", "pid").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
+    if (found := by_task.select("source").distinct().count()) > MAX_SOURCES:
+        raise ValueError(f"{found} sources; join rare ones until there are at most {MAX_SOURCES}")
     totals = {r["source"]: (r["n"], r["tokens"]) for r in by_task.groupBy("source").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()}
     share = {s: (weights.get(s, 0.0) if weights is not None else t**temperature) for s, (_, t) in sorted(totals.items())}
     share = {s: w * totals[s][0] / totals[s][1] for s, w in share.items() if w > 0}  # of slots: by the mean tokens of a block

@@ -1,3 +1,6 @@
+import base64
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,12 +62,21 @@ def test_mixture_reaches_weights(spark):
 
 
 def test_weights_hold_by_tokens(spark):
-    """A source with a few tokens in each input split has padded blocks only."""
-    rows = [(i, prose(30 if i % 2 else 2000, i), "en", "rb"[i % 2 == 0], 1) for i in range(16)]
-    docs = spark.createDataFrame(rows, SCHEMA).repartition(8)
-    mixed = mixing.mix_blocks(docs, {"r": 0.5, "b": 0.5}, epochs=20.0, block_tokens=512).groupBy("source").agg(F.sum("n_tokens").alias("n"))
-    tokens_of = {r.source: r.n for r in mixed.collect()}
-    assert abs(tokens_of["r"] / sum(tokens_of.values()) - 0.5) < 0.05
+    """A rare source has some tokens in each of 64 input splits, far fewer than a block."""
+    rows = [(i, prose(30 if i % 4 == 0 else 900, i), "en", "r" if i % 4 == 0 else "b", 1) for i in range(256)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(64)
+    blocks = mixing.pack_blocks(docs, 512).groupBy("source").agg(F.avg("n_tokens").alias("n")).collect()
+    assert all(r.n > 512 / 2 for r in blocks)
+    for want in (0.5, 0.1):
+        mixed = mixing.mix_blocks(docs, {"r": want, "b": 1 - want}, epochs=20.0, block_tokens=512).groupBy("source").agg(F.sum("n_tokens").alias("n"))
+        tokens_of = {r.source: r.n for r in mixed.collect()}
+        assert abs(tokens_of["r"] / sum(tokens_of.values()) - want) < 0.02
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mix_blocks(_docs(spark))
 
 
 def test_mixed_documents_are_cut_at_characters(spark):
@@ -126,7 +138,7 @@ def test_neighbours_are_alike(spark):
     rows = []
     for i in range(200):
         text = prose(60, i % 2 + 5_000) if i % 4 < 2 else prose(60, i % 2 + 6_000)
-        rows.append((i, " ".join(sorted(text.split(" "), key=lambda w: hash((w, i)))), "en", "a", 1))
+        rows.append((i, " ".join(sorted(text.split(" "), key=lambda w: zlib.crc32(f"{w} {i}".encode()))), "en", "a", 1))
     got = curve.pack_along_curve(spark.createDataFrame(rows, SCHEMA), 1024).collect()
     mixed = sum(len({i % 4 for i in r.doc_ids}) > 2 for r in got)
     assert mixed <= len(got) / 2
@@ -146,3 +158,35 @@ def test_store_round_trip(spark):
     with pytest.raises(ValueError):
         store.read(row.shard, row.offset, row.n_bytes, "other")
     assert tokenstore.write_tokens(empty(spark)).count() == 0
+
+
+def test_dictionary_is_trained_on_every_document(spark, monkeypatch):
+    """Through several levels of merging; it helps, and a phrase of any part of the table is in it."""
+    import zstandard
+
+    monkeypatch.setattr(tokenstore, "TRAINING_BYTES", 4000)
+    monkeypatch.setattr(tokenstore, "MERGED", 3)
+    phrase = prose(40, 77)
+    docs = spark.createDataFrame([(i, prose(30, i) + " " + phrase + " " + prose(30, 500 + i), "en", "a", 1) for i in range(200)], SCHEMA).repartition(8)
+    path = common.new_path(spark, "store")
+    index = tokenstore.write_tokens(docs, path)
+    raw = sum(len(ENC.encode(r.text).tobytes()) for r in docs.collect())
+    alone = sum(len(zstandard.compress(ENC.encode(r.text).tobytes(), 3)) for r in docs.collect())
+    assert index.agg(F.sum("n_bytes")).first()[0] < 0.9 * alone < raw
+    got = {r.doc_id: ENC.decode(r.tokens) for r in tokenstore.read_tokens(index, path).collect()}
+    assert got == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_store_keeps_the_type_of_its_ids(spark, tmp_path):
+    """A vocabulary beyond 65,535 ids takes four bytes each."""
+    pieces = [bytes([b]) for b in range(256)] + [f"<{i}>".encode() for i in range(66_000)]
+    vocabulary = tmp_path / "large.tiktoken"
+    vocabulary.write_text("\n".join(f"{base64.b64encode(p).decode()} {i}" for i, p in enumerate(pieces)))
+    docs = spark.createDataFrame([(1, "plain text", "en", "a", 1), (2, None, "en", "a", 1)], SCHEMA)
+    path = common.new_path(spark, "store")
+    index = tokenstore.write_tokens(docs, path, str(vocabulary))
+    large = tokens.encoder(str(vocabulary))
+    assert large.dtype == np.dtype("<u4")
+    assert {r.doc_id: large.decode(r.tokens) for r in tokenstore.read_tokens(index, path).collect()} == {1: "plain text", 2: ""}
+    row = index.where("doc_id = 1").first()
+    assert row.n_tokens == 10 and len(tokenstore.TokenStore(path).read(row.shard, row.offset, row.n_bytes, row.dict_hash)) == 10
