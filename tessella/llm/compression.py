@@ -15,9 +15,10 @@ from tessella.llm.common import packed, pick, unpacked
 LEVEL = 3
 CHUNK_BYTES = 2048
 #: (bytes up to, least ratio, greatest ratio).  Short texts carry the frame's overhead and have
-#: had little to repeat; prose compresses the better the longer it is.
-BANDS = ((128, 0.0, 1e9), (256, 0.6, 3.0), (512, 1.1, 3.0), (1024, 1.2, 3.2), (4096, 1.35, 4.0), (16384, 1.5, 5.0), (65536, 1.6, 6.0), (1 << 62, 1.6, 8.0))
-#: Band of a full chunk, and the greatest share of a text's full chunks outside of it.
+#: had little to repeat; prose compresses the better the longer it is.  Below 128 bytes even noise
+#: is no larger than prose, so only repetition tells.
+BANDS = ((32, 0.0, 1.6), (64, 0.0, 1.9), (128, 0.0, 2.2), (256, 0.6, 3.0), (512, 1.1, 3.0), (1024, 1.2, 3.2), (4096, 1.35, 4.0), (16384, 1.5, 5.0), (65536, 1.6, 6.0), (1 << 62, 1.6, 8.0))
+#: Band of a chunk, and the greatest share of a text's chunks outside of it.
 CHUNK_BAND = (1.3, 4.0)
 CHUNK_SHARE = 0.3
 SCHEMA = "n_bytes long, ratio double, n_chunks int, repetitive_chunks int, incompressible_chunks int, reason string"
@@ -43,16 +44,16 @@ def measure(text: str | None, level: int = LEVEL, chunk_bytes: int = CHUNK_BYTES
         return (0, None, 0, 0, 0, "empty")
     squeeze = _compressor(level).compress
     ratio = len(raw) / len(squeeze(raw))
-    full = len(raw) // chunk_bytes
+    chunks = -(-len(raw) // chunk_bytes) if len(raw) > chunk_bytes else 0
     high = low = 0
-    if full > 1:
-        for i in range(full):
-            r = chunk_bytes / len(squeeze(raw[i * chunk_bytes : (i + 1) * chunk_bytes]))
-            high += r > chunk_band[1]
-            low += r < chunk_band[0]
+    for i in range(chunks):
+        start = min(i * chunk_bytes, len(raw) - chunk_bytes)  # the last chunk ends with the text
+        r = chunk_bytes / len(squeeze(raw[start : start + chunk_bytes]))
+        high += r > chunk_band[1]
+        low += r < chunk_band[0]
     least, most = band(len(raw), bands)
-    reason = "repetitive" if ratio > most else "incompressible" if ratio < least else "repetitive chunks" if high > chunk_share * full else "incompressible chunks" if low > chunk_share * full else None
-    return (len(raw), ratio, full if full > 1 else 0, high, low, reason)
+    reason = "repetitive" if ratio > most else "incompressible" if ratio < least else "repetitive chunks" if high > chunk_share * chunks else "incompressible chunks" if low > chunk_share * chunks else None
+    return (len(raw), ratio, chunks, high, low, reason)
 
 
 def _measured(options: dict):
@@ -70,15 +71,18 @@ def compression_quality(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_bytes, ratio, n_chunks, repetitive_chunks, incompressible_chunks, reason, keep)
     for each row, with ``keep`` false where a ratio lies outside its band.
 
-    Whole texts are compressed, and each full chunk of ``chunk_bytes`` of texts of two or more.
-    Null and empty texts are rejected with reasons "null" and "empty".  Each row is judged by
-    itself, so repeated rows get equal results.  ``options`` are those of ``measure``.
+    Whole texts are compressed, and chunks of ``chunk_bytes`` that cover all of a longer text, the
+    last one ending with it.  Null and empty texts are rejected with reasons "null" and "empty".
+    Each row is judged by itself, so repeated rows get equal results.  Very long texts are taken
+    whole; an empty table gives no rows; other columns don't matter.  ``options`` are those of
+    ``measure``.
     """
     rows = pick(docs, "doc_id", "text").withColumn("m", _measured(options)("text"))
     return rows.select("doc_id", "m.*", F.col("m.reason").isNull().alias("keep"))
 
 
 def compression_filter(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``compression_quality`` keeps, with all of their columns."""
+    """The rows of ``docs`` that ``compression_quality`` keeps, with all of their columns, clashing
+    names included; repeated rows stay or go together, and an empty table stays empty."""
     rows = packed(docs, "text").withColumn("m", _measured(options)("text"))
     return unpacked(rows.where("m.reason is null"), docs)
