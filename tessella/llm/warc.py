@@ -8,18 +8,22 @@ from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import new_path, pick, written
 
 #: Records closer than this in a file are fetched by one read; a read is at most ``READ_BYTES`` (or one record).
 GAP_BYTES = 64 << 10
-READ_BYTES = 16 << 20
+READ_BYTES = 4 << 20
+#: Compressed bytes that a task fetches, about, and that are worth a task of their own where cores are idle.
+TASK_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
 #: A file is indexed and read in pieces of this many bytes of compressed data.
 _BUFFER = 1 << 20
 _INDEX = "file string, offset long, length long, url string, digest string, record_id string"
+_DAMAGED = "file string, offset long, length long"
 _RECORDS = "file string, offset long, url string, record_id string, digest string, payload binary"
+_MAGIC = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -97,37 +101,53 @@ def write_warc(pages: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _members(stream):
-    """(offset, length, raw) of each gzip member."""
-    offset, start, buffer = 0, 0, b""
+    """(offset, length, raw) of each gzip member; ``raw`` is None for one that is damaged.  After
+    damage the search goes on at the next place that looks like the start of a member.  A cut-off
+    last member is left out."""
+    start, buffer = 0, b""
     while True:
-        inflate, parts, used = zlib.decompressobj(31), [], 0
-        while not inflate.eof:
-            if not buffer:
-                buffer = stream.read(_BUFFER)
-                if not buffer:
+        inflate, parts, seen = zlib.decompressobj(31), [], []
+        try:
+            while not inflate.eof:
+                if not buffer and not (buffer := stream.read(_BUFFER)):
                     return
-            parts.append(inflate.decompress(buffer))
-            used += len(buffer) - len(inflate.unused_data)
-            buffer = inflate.unused_data
-        yield start, used, b"".join(parts)
-        start += used
+                seen.append(buffer)
+                parts.append(inflate.decompress(buffer))
+                buffer = inflate.unused_data
+            length = sum(map(len, seen)) - len(buffer)
+            yield start, length, b"".join(parts)
+        except zlib.error:
+            rest, length = b"".join(seen), 0
+            while (at := rest.find(_MAGIC, 0 if length else 1)) < 0:
+                if not (more := stream.read(_BUFFER)):
+                    yield start, length + len(rest), None
+                    return
+                gone = max(0, len(rest) - len(_MAGIC) + 1)
+                length, rest = length + gone, rest[gone:] + more
+            yield start, length + at, None
+            length, buffer = length + at, rest[at:]
+        start += length
 
 
-def _scan(batches):
+def _scan(damaged: bool, batches):
     for batch in batches:
         for file in batch.column("file").to_pylist():
             rows = []
             system, path = _filesystem(file)
             with system.open_input_stream(path, compression=None) as stream:
                 for offset, length, raw in _members(stream):
-                    headers, payload = parse(raw)
+                    if damaged:
+                        if raw is None:
+                            rows.append((file, offset, length))
+                        continue
+                    headers, payload = parse(raw or b"")
                     if headers.get("warc-type") in ("response", "resource"):
                         rows.append((file, offset, length, *_entry(headers, payload)))
                     if len(rows) >= 4096:
                         yield _batch(rows, _INDEX)
                         rows = []
             if rows:
-                yield _batch(rows, _INDEX)
+                yield _batch(rows, _DAMAGED if damaged else _INDEX)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -136,11 +156,20 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
 
+def _by_file(files: DataFrame) -> DataFrame:
+    return files.select("file").repartition(max(1, files.count()), "file")
+
+
 def index_warc(files: DataFrame) -> DataFrame:
     """(file, offset, length, url, digest, record_id) of each response or resource record in the
-    archives of ``files`` (file), as a written table.  A cut-off last record is left out."""
-    n = max(1, files.count())
-    return written(files.select("file").repartition(n, "file").mapInArrow(_scan, _INDEX), "warc-index")
+    archives of ``files`` (file), as a written table.  Damaged members and a cut-off last record
+    are left out; ``damaged_members`` tells of the former."""
+    return written(_by_file(files).mapInArrow(partial(_scan, False), _INDEX), "warc-index")
+
+
+def damaged_members(files: DataFrame) -> DataFrame:
+    """(file, offset, length) of the stretches of archives that aren't whole gzip members."""
+    return _by_file(files).mapInArrow(partial(_scan, True), _DAMAGED)
 
 
 def _fetch(gap_bytes: int, read_bytes: int, batches):
@@ -175,11 +204,14 @@ def read_records(selected: DataFrame, gap_bytes: int = GAP_BYTES, read_bytes: in
     """(file, offset, url, record_id, digest, payload) of the index rows in ``selected``.
 
     Rows are brought together by stretches of a file and sorted by offset; neighbours at most
-    ``gap_bytes`` apart are fetched by one read of at most ``read_bytes``.  Each index row, a
-    repeated one too, gives a record.
+    ``gap_bytes`` apart are fetched by one read of at most ``read_bytes``.  The number of tasks
+    follows the bytes to read, not those of the index.  Each index row, a repeated one too, gives
+    a record; an empty index none.
     """
     near = selected.select("file", "offset", "length", F.expr(f"offset div {read_bytes * 4}").alias("stretch"))
-    ordered = near.repartition("file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
+    size = near.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1 + size // TASK_BYTES, min(selected.sparkSession.sparkContext.defaultParallelism, 1 + size // LEAST_BYTES))
+    ordered = near.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
     return ordered.mapInArrow(partial(_fetch, gap_bytes, read_bytes), _RECORDS)
 
 
@@ -188,10 +220,14 @@ def distinct_pages(pages: DataFrame, path: str | None = None, **reading) -> Data
 
     The pages are archived and indexed; of the records with equal digests the one of the least
     (page_id, url) is selected, nulls last, and only the selected ones are read.  A null html
-    has no record; an empty one is content like any other.  Of repeated pages one remains.
+    has no record; an empty one is content like any other.  Of repeated pages one remains.  Very
+    long pages are records like others; an empty table gives no rows.  Other columns don't matter.
+    White space and control characters of a url come back percent-encoded.  The choice is a
+    partial minimum, so a content that a third of all pages have is no hot key.
     """
     index = index_warc(write_warc(pages, path))
-    order = Window.partitionBy("digest").orderBy(F.expr("try_cast(record_id as long)").asc_nulls_last(), F.col("url").asc_nulls_last(), "file", "offset")
-    chosen = index.withColumn("at", F.row_number().over(order)).where("at = 1")
+    number = F.expr("try_cast(record_id as long)")
+    place = F.struct(number.isNull().alias("no"), number.alias("id"), F.col("url").isNull().alias("none"), "url", "file", "offset", "length")
+    chosen = written(index.groupBy("digest").agg(F.min(place).alias("m")).select("m.file", "m.offset", "m.length"), "warc-chosen")
     found = read_records(chosen, **reading)
     return found.select(F.expr("try_cast(record_id as long)").alias("page_id"), "url", F.expr("substring_index(digest, ':', -1)").alias("digest"), F.col("payload").cast("string").alias("html"))
