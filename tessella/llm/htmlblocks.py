@@ -11,7 +11,8 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
-from functools import partial
+from collections import Counter
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 from tessella.llm.common import pick
 from tessella.llm.words import word_batches
 
-#: Pages (expected number, chosen by hash from all) that the labeller is trained on.
-TRAINING_PAGES = 384
+#: Pages (expected number, chosen by hash from all of up to so many characters) that the labeller is trained on.
+TRAINING_PAGES, TRAINING_CHARS = 384, 1 << 20
 HIDDEN, PATH, WORDS, NUMBERS = 24, 40, 32, 8
 SIZE = PATH + WORDS + NUMBERS
+_TAGS = PATH * 3 // 5  # slots of a path's names; the rest are its last name's
 EPOCHS, BATCH, RATE, DROP = 5, 16, 0.01, 0.5
 SEED = 11
 THRESHOLD = 0.5
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = frozenset("script style noscript template textarea svg math iframe title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,22 +43,68 @@ _AD = re.compile(r"\b(?:ads?|advert\w*|banner|cookie\w*|promo\w*|sidebar|menu|br
 _SPACE = re.compile(r"\s+")
 
 
-def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """Leaf blocks of a page in order: (text, path, characters within links).  The path has
-    the open tags from the outside in, with a ``.name`` after one for each class or id.
+class Path:
+    """The open tags from the outside in, with a ``.name`` after one for each class or id.  What
+    is read from a path is kept up as it grows, so depth costs nothing: the slots that its names
+    have in a vector, its length, its last name, and what the markup says; each also without the
+    names that say so (``shown``)."""
+
+    __slots__ = ("above", "names", "slots", "length", "last", "shown", "content", "boilerplate")
+
+    def __init__(self, above: Path | None = None, names: tuple[str, ...] = ()):
+        self.above, self.names = above, names
+        self.slots, self.length, self.last = (above.slots, above.length, above.last) if above else (0, 0, None)
+        self.shown = above.shown if above else (0, 0, None)
+        self.content, self.boilerplate = (above.content, above.boilerplate) if above else (False, False)
+        for name in names:
+            bit = 1 << _slot(name, _TAGS)
+            self.slots, self.length, self.last = self.slots | bit, self.length + 1, name
+            self.content |= name in _CONTENT
+            self.boilerplate |= name in _BOILERPLATE or name[0] == "." and _AD.search(name) is not None
+            if name[0] != "." and name not in _CONTENT and name not in _BOILERPLATE:
+                self.shown = (self.shown[0] | bit, self.shown[1] + 1, name)
+
+    def __iter__(self):
+        parts, at = [], self
+        while at is not None:
+            parts.append(at.names)
+            at = at.above
+        return (name for names in reversed(parts) for name in names)
+
+    def __eq__(self, other):
+        return tuple(self) == tuple(other)
+
+    def __getitem__(self, at):
+        return tuple(self)[at]
+
+
+def _slot(name: str, size: int) -> int:
+    return zlib.crc32(name.encode("utf-8", "replace")) % size
+
+
+@lru_cache(maxsize=1 << 14)
+def _places(slots: int) -> np.ndarray:
+    return np.array([i for i in range(_TAGS) if slots >> i & 1], dtype=np.int64)
+
+
+def leaves(page: str | None) -> list[tuple[str, Path, int]]:
+    """Leaf blocks of a page in order: (text, path, characters within links).  Time and memory
+    are in proportion to the page, however deep it is.
 
     Malformed markup never fails: an end tag without a start is skipped, open tags end with their
     parents, and an unfinished tag or comment ends the page.  Comments, scripts, styles and other
     raw elements give no text; a script or style without an end tag ends the page, of another raw
     element only the tag is left out.
     """
-    out: list[tuple[str, tuple[str, ...], int]] = []
+    out: list[tuple[str, Path, int]] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    top = Path()
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = 0
-    path: tuple[str, ...] = ()
+    path = top
     endless: set[str] = set()
 
     def flush():
@@ -85,13 +133,16 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             continue
         name = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name == "a":
                 links = max(0, links - 1)
-            if depth is not None and name not in _INLINE:
+            if opened[name] and name not in _INLINE:
                 flush()
-                del stack[depth:]
-                path = stack[-1][1] if stack else ()
+                while True:
+                    ended = stack.pop()[0]
+                    opened[ended] -= 1
+                    if ended == name:
+                        break
+                path = stack[-1][1] if stack else top
             continue
         if name in _RAW:
             if name in endless or name in ("svg", "math") and m[0].endswith("/>"):
@@ -116,42 +167,35 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         flush()
         closes = _CLOSES.get(name)
         if closes and stack and stack[-1][0] in closes:
-            stack.pop()
-            path = stack[-1][1] if stack else ()
+            opened[stack.pop()[0]] -= 1
+            path = stack[-1][1] if stack else top
         names = ["." + n for v in _NAMES.findall(m[3]) for n in "".join(v).lower().split()] if m[3] else []
-        path = (*path, name, *names)
+        path = Path(path, (name, *names))
         if not m[0].endswith("/>"):
             stack.append((name, path))
+            opened[name] += 1
     flush()
     return out
 
 
-def weak_label(path: tuple[str, ...]) -> bool:
+def weak_label(path: Path) -> bool:
     """Whether the markup itself calls a block content."""
-    return not _CONTENT.isdisjoint(path) and _BOILERPLATE.isdisjoint(path) and not any(_AD.search(p) for p in path if p[0] == ".")
-
-
-def _slot(name: str, size: int) -> int:
-    return zlib.crc32(name.encode("utf-8", "replace")) % size
+    return path.content and not path.boilerplate
 
 
-def vectors(blocks: list[tuple[str, tuple[str, ...], int]], hide: np.ndarray | None = None) -> np.ndarray:
+def vectors(blocks: list[tuple[str, Path, int]], hide: np.ndarray | None = None) -> np.ndarray:
     """A row for each block: hashed tag path, hashed words, and sizes, links and place.
     ``hide`` says for which blocks the tags that ``weak_label`` reads are left out."""
     n = len(blocks)
     x = np.zeros((n, SIZE), dtype=np.float32)
-    half = PATH * 3 // 5
-    told = _CONTENT | _BOILERPLATE
     for i, (text, path, linked) in enumerate(blocks):
-        if hide is not None and hide[i]:
-            path = tuple(p for p in path if p not in told and p[0] != ".")
-        for p in path:
-            x[i, _slot(p, half)] = 1.0
-        if path:
-            x[i, half + _slot(path[-1], PATH - half)] = 1.0
+        slots, deep, last = path.shown if hide is not None and hide[i] else (path.slots, path.length, path.last)
+        x[i, _places(slots)] = 1.0
+        if last is not None:
+            x[i, _TAGS + _slot(last, PATH - _TAGS)] = 1.0
         length = len(text)
         marks = sum(map(text.count, ".,;:!?"))
-        x[i, PATH + WORDS :] = (np.log1p(length) / 8, min(1.0, linked / length), min(1.0, marks * 10 / length), text[-1] in ".!?\"”", text[0].isupper(), i / n, len(path) / 16, length > 80)
+        x[i, PATH + WORDS :] = (np.log1p(length) / 8, min(1.0, linked / length), min(1.0, marks * 10 / length), text[-1] in ".!?\"”", text[0].isupper(), i / n, deep / 16, length > 80)
     for first, hashed, counts in word_batches([b[0] for b in blocks]):
         owner = np.repeat(np.arange(len(counts)), counts)
         sign = np.where(hashed >> np.uint64(63), 1.0, -1.0)
@@ -274,8 +318,8 @@ def fit(pages: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict[str, n
 
 
 def training_pages(pages: DataFrame, n: int = TRAINING_PAGES) -> list[str]:
-    """About ``n`` pages, drawn by hash from all."""
-    rows = pick(pages, "page_id", "url", "html").where("html <> ''")
+    """About ``n`` pages, drawn by hash from all of up to ``TRAINING_CHARS`` characters."""
+    rows = pick(pages, "page_id", "url", "html").where(f"length(html) between 1 and {TRAINING_CHARS}")
     share = min(1.0, n / max(1, rows.count()))
     bound = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
     drawn = rows.where(F.xxhash64("page_id", "url", F.lit(SEED)) <= F.lit(bound)).select("html")

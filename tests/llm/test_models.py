@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -228,6 +229,54 @@ def test_every_class_counts():
     assert path[-1] == ".sidebar" and not htmlblocks.weak_label(path)
 
 
+@pytest.mark.parametrize("unit", ["<div>x", "<b class=q><p>x", "<div>x</span>", '<a "x', "<p><div>x</i></nav>"])
+def test_deep_pages_take_linear_time(unit):
+    began = time.process_time()
+    blocks = htmlblocks.leaves(unit * 100_000)
+    htmlblocks.vectors(blocks)
+    assert time.process_time() - began < 30 and len(blocks) <= 100_000
+
+
+def test_paths_keep_what_is_read_from_them():
+    told = htmlblocks._CONTENT | htmlblocks._BOILERPLATE
+    page = "<main class='a sidebar'><div id=x><p>one</p></div></main><article><ul><li>two<nav>three</nav></ul></article>four"
+    for _, path, _ in htmlblocks.leaves(page):
+        names = tuple(path)
+        shown = [n for n in names if n not in told and n[0] != "."]
+        for (slots, length, last), of in (((path.slots, path.length, path.last), names), (path.shown, shown)):
+            assert set(htmlblocks._places(slots)) == {htmlblocks._slot(n, htmlblocks._TAGS) for n in of}
+            assert length == len(of) and last == (of[-1] if of else None)
+        assert htmlblocks.weak_label(path) == (bool({"main", "article"} & set(names)) and not htmlblocks._BOILERPLATE & set(names) and ".sidebar" not in names)
+
+
+def _plain_labels(w, rows):
+    """The labeller one number at a time."""
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    h_all = {}
+    for d in "fb":
+        h, c, out = [0.0] * htmlblocks.HIDDEN, [0.0] * htmlblocks.HIDDEN, {}
+        for t in range(len(rows)) if d == "f" else reversed(range(len(rows))):
+            z = [w["c" + d][g] + sum(rows[t][s] * w["x" + d][s, g] for s in np.flatnonzero(rows[t])) + sum(h[k] * w["h" + d][k, g] for k in range(len(h))) for g in range(4 * len(h))]
+            m = len(h)
+            c = [sigmoid(z[m + k]) * c[k] + sigmoid(z[k]) * math.tanh(z[3 * m + k]) for k in range(m)]
+            h = [sigmoid(z[2 * m + k]) * math.tanh(c[k]) for k in range(m)]
+            out[t] = h
+        h_all[d] = out
+    return [sigmoid(float(w["bias"][0]) + sum(a * b for a, b in zip([*h_all["f"][t], *h_all["b"][t]], w["out"]))) for t in range(len(rows))]
+
+
+def test_extraction_against_plain_numbers(spark):
+    """The query's path from page to text, with the labeller computed by loops."""
+    w = htmlblocks.fit([_page(i) for i in range(40)], epochs=2)
+    pages = [_page(i, 8) for i in range(50, 53)] + ["<p>only</p>"]
+    got = htmlblocks.extract_text(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], PAGES), w).orderBy("page_id").collect()
+    for page, row in zip(pages, got):
+        blocks = htmlblocks.leaves(page)
+        p = _plain_labels(w, htmlblocks.vectors(blocks))
+        assert all(abs(q - 0.5) > 1e-4 for q in p)
+        assert row.text == "\n".join(b[0] for b, q in zip(blocks, p) if q >= 0.5) and row.n_blocks == len(blocks)
+
+
 def _odd_pages():
     return [(1, "http://a/1", _page(1)), (1, "http://a/1", _page(1)), (2, None, _page(2)), (None, "http://a/3", _page(1)), (4, "http://a/4", None), (5, "http://a/5", ""), (6, "http://a b/\n6", "é漢" * 50), (7, "u", "<p>" + prose(60_000, 1) + "</p>")]
 
@@ -259,3 +308,20 @@ def test_warc_index_places(spark):
         assert headers["warc-target-uri"] == r.url and payload.decode() == _page(int(r.record_id))
     some = spark.createDataFrame(index[3:20:4])
     assert {r.record_id for r in warc.read_records(some).collect()} == {r.record_id for r in index[3:20:4]}
+
+
+def test_damaged_members_are_skipped_and_told(spark, tmp_path):
+    pages = {i: _page(i) for i in range(6)}
+    members = [warc.record(str(i), f"http://h/{i}", p.encode()) for i, p in pages.items()]
+    broken = {1: b"\xff" * 40, 3: b"\x00\x01"}  # within the data, and in the checksum
+    spoiled = [m if i not in broken else m[:60] + broken[i] + m[100:] if i == 1 else m[:-8] + broken[i] + m[-6:] for i, m in enumerate(members)]
+    path = str(tmp_path / "a.warc.gz")
+    open(path, "wb").write(b"".join(spoiled) + members[0][:50])
+    files = spark.createDataFrame([(path,)], "file string")
+    index = warc.index_warc(files)
+    assert sorted(int(r.record_id) for r in index.collect()) == [0, 2, 4, 5]
+    assert {r.payload.decode() for r in warc.read_records(index).collect()} == {pages[i] for i in (0, 2, 4, 5)}
+    starts = np.cumsum([0, *map(len, spoiled)])
+    assert sorted((r.offset, r.length) for r in warc.damaged_members(files).collect()) == [(starts[i], len(spoiled[i])) for i in (1, 3)]
+    open(path, "wb").write(b"no archive at all")
+    assert warc.index_warc(files).count() == 0
