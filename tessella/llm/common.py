@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most so many rows (of a few tens of bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A side with at most so many rows (of up to a hundred bytes each) is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 250_000
 
 _written: list[str] = []
 
@@ -64,6 +66,39 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+#: Bits of a ``KeyFilter`` for each key, and at most (64 MB): beyond 2**25 keys more others pass by chance.
+KEY_BITS, MAP_BITS = 16, 29
+_CELL = 15  # bits in a row of the collected bitmap, as a power of two
+
+
+class KeyFilter:
+    """A bitmap of the 64-bit hashes (``key``) in a written table, of bounded size whatever their
+    number: what isn't in it is certainly none of them, what is may be one."""
+
+    def __init__(self, keys: DataFrame):
+        power = min(MAP_BITS, (KEY_BITS * max(keys.count(), 1)).bit_length())
+        bit = F.shiftrightunsigned("key", 64 - power)
+        cells = keys.select(F.expr(f"{1 << _CELL}").alias("size"), bit.alias("bit")).groupBy(F.expr("bit div size").alias("cell")).agg(F.bitmap_construct_agg(F.expr("bit % size")).alias("map"))
+        out = np.zeros((1 << max(0, power - _CELL), (1 << _CELL) // 8), dtype=np.uint8)
+        for r in cells.collect():  # at most 2**MAP_BITS bits
+            out[r["cell"]] = np.frombuffer(r["map"], dtype=np.uint8)
+        self._shift = np.uint64(64 - power)
+        self._shared = keys.sparkSession.sparkContext.broadcast(out.ravel())
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.uint64) >> self._shift
+        return self._shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+    def column(self, key: Column) -> Column:
+        """Whether a key may be one; false for null."""
+
+        @F.pandas_udf("boolean")
+        def within(values: pd.Series) -> pd.Series:
+            return pd.Series(self.has(values.to_numpy().astype(np.int64)))
+
+        return within(F.coalesce(key, F.lit(0).cast("long"))) & key.isNotNull()
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns by exact name, so that other columns, even ones whose names differ only
     in case, don't matter.  A column that is missing is null."""
@@ -75,13 +110,16 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{have.index(n)}").alias(n) if n in have else F.lit(None).cast(_types(n)).alias(n) for n in names])
 
 
-def packed(docs: DataFrame, *names: str) -> DataFrame:
+def packed(docs: DataFrame, *names: str, hashes: tuple[str, ...] = ()) -> DataFrame:
     """The named columns beside ``row``, a struct of all columns (as c0, c1, ...), so that no
-    column that an operator adds can clash with one of the input."""
+    column that an operator adds can clash with one of the input.  ``hashes`` names different
+    64-bit hashes of all columns but maps."""
     have = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(have))])
     picked = [F.col(f"c{have.index(n)}").alias(n) if n in have else F.lit(None).cast(_types(n)).alias(n) for n in names]
-    return plain.select(*picked, F.struct(*[F.col(f"c{i}") for i in range(len(have))]).alias("row"))
+    known = [F.col(f.name) for f in plain.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashed = [F.xxhash64(F.lit(i), *known).alias(h) for i, h in enumerate(hashes)]
+    return plain.select(*picked, *hashed, F.struct(*[F.col(f"c{i}") for i in range(len(have))]).alias("row"))
 
 
 def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:

@@ -9,44 +9,19 @@ size no text is shuffled to be judged, and the next, dearer hash is taken of sur
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import packed, pick, sized, unpacked, written
+from tessella.llm.common import KeyFilter, packed, pick, sized, unpacked, written
 
 PREFIX_CHARS = 256
 #: Originals (rows of about 150 bytes) up to this number are broadcast, others joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Bits for each shared key, and the greatest bitmap (64 MB): beyond 2**25 shared keys more rows pass by chance.
-KEY_BITS, MAP_BITS = 16, 29
-_CELL = 15  # bits in a row of the collected bitmap, as a power of two
 
 
-def _shared(keys: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the hashes (``key``) that more than one row has, and its bits as a power of two."""
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "exact-keys")
-    power = min(MAP_BITS, (KEY_BITS * max(shared.count(), 1)).bit_length())
-    bit = F.shiftrightunsigned("key", 64 - power)
-    cells = shared.select(F.expr(f"{1 << _CELL}").alias("size"), bit.alias("bit")).groupBy(F.expr("bit div size").alias("cell")).agg(F.bitmap_construct_agg(F.expr("bit % size")).alias("map"))
-    out = np.zeros((1 << max(0, power - _CELL), (1 << _CELL) // 8), dtype=np.uint8)
-    for r in cells.collect():  # at most 2**MAP_BITS bits
-        out[r["cell"]] = np.frombuffer(r["map"], dtype=np.uint8)
-    return out.ravel(), power
-
-
-def _within(docs: DataFrame, keys: DataFrame):
-    """A function of a key column: whether its bit is set by a shared key; null gives false."""
-    bitmap, power = _shared(keys)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def within(key: pd.Series) -> pd.Series:
-        at = key.to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(64 - power)
-        return pd.Series(shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0)
-
-    return lambda key: within(F.coalesce(key, F.lit(0).cast("long"))) & key.isNotNull()
+def _shared(keys: DataFrame) -> KeyFilter:
+    """A filter of the keys that more than one row has."""
+    return KeyFilter(written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "exact-keys"))
 
 
 def _prefix(prefix_chars: int) -> Column:
@@ -59,9 +34,9 @@ def refined(docs: DataFrame, rows: DataFrame, prefix_chars: int = PREFIX_CHARS)
     text and null for others; ``size`` is the length in bytes.  Null texts survive nothing."""
     texts = pick(docs, "text").where("text is not null")
     length = F.xxhash64(F.octet_length("text"))
-    of_length = _within(docs, texts.select(length.alias("key")))
+    of_length = _shared(texts.select(length.alias("key"))).column
     left = texts.where(of_length(length))
-    of_prefix = _within(docs, left.select(_prefix(prefix_chars).alias("key")))
+    of_prefix = _shared(left.select(_prefix(prefix_chars).alias("key"))).column
     marked = rows.withColumn("by_length", of_length(F.when(F.col("text").isNotNull(), length)))
     marked = marked.withColumn("by_prefix", of_prefix(F.when(F.col("by_length"), _prefix(prefix_chars))))
     return marked.withColumn("size", F.octet_length("text")).withColumn("full", F.when(F.col("by_prefix"), F.sha2("text", 256)))
@@ -94,9 +69,7 @@ def drop_exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) ->
     Rows that are alone by length or prefix pass without a shuffle.  Copies are judged by narrow
     rows; only where the original itself is repeated its rows come together, after partial ones.
     """
-    rows = refined(docs, packed(docs, "doc_id", "text"), prefix_chars)
-    plain = [F.col("row")[f.name] for f in rows.schema["row"].dataType.fields if "map<" not in f.dataType.simpleString()]
-    rows = rows.withColumn("hash", F.xxhash64(*plain))
+    rows = refined(docs, packed(docs, "doc_id", "text", hashes=("hash",)), prefix_chars)
     alone = rows.where("full is null")
     copies = rows.where("full is not null").drop("text")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "hash")

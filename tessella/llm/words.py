@@ -1,13 +1,15 @@
 """Vectorised word hashing shared by the operators that look at words.
 
-A word is a maximal run of ASCII letters and digits, underscores and non-ASCII
-characters, in lower case; all other ASCII characters separate words.  The hash of a word is a
+A word is a maximal run of ASCII letters and digits, underscores and other non-ASCII characters
+than spaces, punctuation and symbols, in lower case.  In scripts that are written without spaces
+(Chinese, Japanese, Thai, Lao, Khmer, Burmese) every character is a word.  The hash of a word is a
 polynomial in its UTF-8 bytes modulo 2**64, taken from prefix sums so that a whole batch of
 texts costs a few numpy passes and no Python work per word, and then mixed (splitmix64).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,9 +61,20 @@ def _hash_bytes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * inverse[starts]), starts
 
 
+#: Latin-1 signs, spaces and punctuation of all scripts, and symbols up to the braille patterns.
+_MARKS = re.compile("[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u055a-\u055f\u0589\u05be\u060c\u061b\u061f\u066a-\u066d\u06d4\u0964\u0965\u1361-\u1368\u1680\u17d4-\u17da\u2000-\u200b\u200e-\u206f\u20a0-\u20cf\u2190-\u28ff\u2e00-\u2e7f\u3000-\u3004\u3008-\u3020\u3030\u30fb\ufe10-\ufe1f\ufe30-\ufe6f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+#: Bytes that no other character than those (and some letters) has, once all else is deleted.
+_USUAL = bytes(c for c in range(256) if c < 0xD5 and c != 0xC2)
+
+
 def plain(text: str) -> bytes:
     """Lower-case words, separated by spaces."""
-    return text.lower().encode("utf-8", "replace").translate(_TABLE)
+    text = text.lower()
+    raw = text.encode("utf-8", "replace")
+    if raw.translate(None, _USUAL):
+        raw = _UNSPACED.sub(r" \g<0> ", _MARKS.sub(" ", text)).encode("utf-8", "replace")
+    return raw.translate(_TABLE)
 
 
 _SHAPES = bytes(32 if c in b" \t\n\r\f\v" else 65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))

@@ -5,9 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessella.llm import compression, exact, setsketch
+from tessella.llm import common, compression, exact, setsketch
 from tessella.llm.components import connected_components
-from tessella.llm.words import shingle_hashes, word_batches, word_hashes
+from tessella.llm.words import plain, shingle_hashes, word_batches, word_hashes
 from tests.llm.cases import SCHEMA, clashing, edited, empty, odd, odd_rows, prose
 
 
@@ -20,6 +20,13 @@ def test_word_hashes_do_not_depend_on_batches():
     assert len(set(word_hashes("a b c ab abc a_b").tolist())) == 6
 
 
+def test_words_of_other_scripts():
+    assert plain("L\u2019été\u00a0«vrai» — fin…").split() == ["l".encode(), "été".encode(), b"vrai", b"fin"]
+    assert plain("漢字、かな。ABC").split() == ["漢".encode(), "字".encode(), "か".encode(), "な".encode(), b"abc"]
+    assert plain("привет, мир\u3000שלום").split() == ["привет".encode(), "мир".encode(), "שלום".encode()]
+    assert len(word_hashes("漢字漢")) == 3 and word_hashes("漢字漢")[0] == word_hashes("漢")[0]
+
+
 def test_shingles_of_short_texts():
     words, counts = [np.concatenate(x) for x in zip(*[(h, c) for _, h, c in word_batches(["a b", "a b c d", "", "x"])])]
     shingles, sizes = shingle_hashes(words, counts, 3)
@@ -57,7 +64,7 @@ def test_exact_stages_leave_fewer_rows(spark):
 
 def test_exact_survives_a_full_bitmap(spark, monkeypatch):
     """With one bit for many keys rows pass by chance, and results are the same."""
-    monkeypatch.setattr(exact, "MAP_BITS", 3)
+    monkeypatch.setattr(common, "MAP_BITS", 3)
     texts = [prose(3 + i % 40, i % 60) for i in range(300)]
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
     first = {}
@@ -104,8 +111,11 @@ def test_components(spark):
 
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert got == {n: find(n) for n in parent if find(n) != n}
+    for driver_edges in (0, 1000):
+        got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long"), driver_edges).collect()))
+        assert got == {n: find(n) for n in parent if find(n) != n}
+    star = [(0, i) for i in range(1, 400)] + [(5, 5), (5, 0)]
+    assert dict(map(tuple, connected_components(spark.createDataFrame(star, "a long, b long"), 0).collect())) == dict.fromkeys(range(1, 400), 0)
 
 
 def test_estimate_is_close():
@@ -128,6 +138,23 @@ def test_registers_merge():
     assert (setsketch.registers(np.concatenate([x, y])) == np.maximum(setsketch.registers(x), setsketch.registers(y))).all()
 
 
+def test_crossed_pairs_against_all(spark, monkeypatch):
+    """Blocks of a bucket meet in every pair, whatever sizes and numbers, and only across components."""
+    monkeypatch.setattr(setsketch, "BLOCK_NODES", 4)
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [pool[: int(n)] for n in rng.integers(60, 400, 30)]
+    nodes = spark.createDataFrame([(i, len(s), bytearray(setsketch.registers(s).tobytes())) for i, s in enumerate(sets)], "node long, n int, registers binary")
+    mixed = spark.createDataFrame([(b, i, i % 5) for b in (1, 2) for i in range(30)] + [(3, 7, 1)], "bucket long, node long, root long")
+    got = {(r.a, r.b): r.est for r in setsketch._crossed(mixed, nodes, 0.5, 0.6).collect()}
+    for i, j in itertools.combinations(range(30), 2):
+        small, large = sorted((len(sets[i]), len(sets[j])))
+        if i % 5 == j % 5 or small < 0.6 * large:
+            assert (i, j) not in got
+        elif small > 0.75 * large:
+            assert abs(got[i, j] - small / large) < 0.2
+
+
 def _brute(rows, threshold=setsketch.THRESHOLD):
     sets = [set(shingle_hashes(*next(word_batches([t or ""]))[1:], setsketch.SHINGLE)[0].tolist()) for _, t, *_ in rows]
     return [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])]
@@ -171,6 +198,39 @@ def test_compression_against_measure(spark):
     assert all(r.keep == (r.reason is None) for r in got)
 
 
+def _plain_judgement(text):
+    """The rule again, from its description: ratios of the whole and of pieces that cover it."""
+    import zstandard
+
+    if not text:
+        return "null" if text is None else "empty"
+    raw = text.encode()
+    ratio = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(b))
+    for upto, least, most in compression.BANDS:
+        if len(raw) < upto:
+            break
+    if not least <= ratio(raw) <= most:
+        return "repetitive" if ratio(raw) > most else "incompressible"
+    starts = [*range(0, len(raw) - 2047, 2048)]
+    if len(raw) % 2048:
+        starts.append(len(raw) - 2048)
+    pieces = [ratio(raw[s : s + 2048]) for s in starts] if len(raw) > 2048 else []
+    for name, bad in (("repetitive", [r for r in pieces if r > 4.0]), ("incompressible", [r for r in pieces if r < 1.3])):
+        if 10 * len(bad) > 3 * len(pieces):
+            return f"{name} chunks"
+    return None
+
+
+def test_compression_against_brute_force(spark):
+    noise = "".join(random.Random(2).choices([chr(c) for c in range(33, 127)], k=3000))
+    texts = [None, "", "a" * 31, "a" * 127, "a" * 200, "b" * 5000, noise, noise[:100], prose(20, 1), prose(330, 1) + " " + noise[:1900], prose(300, 2) + "z" * 2500, prose(1400, 6) + "z" * 6200, prose(900, 3), prose(2000, 4) + noise, *[prose(n, n) for n in range(1, 60, 7)], *[t for _, t, *_ in odd_rows()]]
+    got = compression.compression_quality(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
+    want = [_plain_judgement(t) for t in texts]
+    assert [r.reason for r in got] == want and [r.keep for r in got] == [w is None for w in want]
+    assert {"null", "empty", "repetitive", "incompressible", "repetitive chunks", "incompressible chunks", None} == set(want)
+    assert want[3] == want[2] == "repetitive"
+
+
 def test_compression_judges():
     noise = "".join(random.Random(1).choices([chr(c) for c in range(33, 127)], k=6000))
     assert compression.measure("again and again " * 200)[-1] == "repetitive"
