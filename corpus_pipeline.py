@@ -2,8 +2,6 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's ``docs``.  All but the last return the columns of ``documents``.
-The defined results for nulls, empty and long texts, ties, repeated rows, empty tables and other
-columns are those of the operators that the stages call.
 """
 
 from __future__ import annotations
@@ -19,27 +17,37 @@ from tessella.llm.setsketch import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose compression ratios lie within their bands."""
+    """Documents whose compression ratios lie within their bands.  Null and empty texts go, very
+    long ones are judged whole; repeated rows and ties in doc_id are judged each by itself; an
+    empty table stays empty; extra columns stay, whatever their names."""
     return compression_filter(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: that of the least doc_id, nulls last, and of several such rows
+    the one whose columns have the least hash; one of equal rows.  Null texts all stay; an empty
+    table stays empty; extra columns stay, whatever their names."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, chosen as in ``exact_dedup``.  Null texts and
+    texts without a word are in no group and stay, very long texts are compared whole; an empty
+    table stays empty; extra columns stay, whatever their names."""
     return drop_near_duplicates(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Parts of documents in the blocks that the mixture draws."""
+    """Parts of documents in the blocks that the mixture draws, with the columns of documents
+    alone.  Null and empty texts give none; a null source is one of its own; very long texts run
+    over many blocks; repeated rows are drawn as separate ones; an empty table gives none."""
     return mix_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of neighbouring documents along the curve."""
+    """Sequences of neighbouring documents along the curve.  Null and empty texts give none, very
+    long ones full sequences and a rest; repeated rows and doc_ids are packed each for itself; an
+    empty table gives none; other columns don't matter."""
     return pack_along_curve(docs)
 
 
