@@ -7,17 +7,21 @@ SQL states what must come out from the rows' values, or parses them by other mea
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella import api, sinks
+from tessella import api, schema, sinks
 from tessella.functions.docstrings import parse_doc_json
 from tessella.functions.text import content_hash
 from tessella.operators.tree import with_paths
 from tessella.plans import config, markup, nested
 from tessella.plans.code import outline as code
+from tessella.samples import SAMPLES
+from tessella.sources.files import read_documents
 from tessella.streaming.incremental import changed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +155,10 @@ def _expected(rows: list[tuple], columns: str = "") -> str:
     return " UNION ALL ".join(parts)
 
 
+def _metadata(json_text: str | None) -> str:
+    return _quoted(json_text) if json_text else "CAST(NULL AS VARCHAR)"
+
+
 _INI = _corpus("ini", _lines(*map(_quoted, ("; note", "top = {k}", "[part {k}]", "name: {n}", "# skipped", "size=a=b", "[end]", "=nothing", "x:1"))))
 def _of(key: str, name: str | None = None):
     """A metadata value as a column."""
@@ -207,29 +215,67 @@ QUERIES["csv_outline"] = lambda s, d: config.csv(_tables(s, d)).select("doc_id",
 ORACLE_SQL["csv_outline"] = "WITH n AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS doc_id FROM customer) SELECT doc_id, 0 AS node_id, CAST(NULL AS INTEGER) AS parent_id, 'Columns' AS title, 'section' AS type, 1 AS depth FROM n" + "".join(f" UNION ALL SELECT doc_id, {i + 1}, 0, '{name}', '{kind} column', 2 FROM n" for i, (name, kind, _) in enumerate(_CSV_COLUMNS))
 
 
+_TYPED = _corpus("csv", _lines(*map(_quoted, ("when,where,what,mixed,amount", "2024-01-05,https://x.com/{k},word,1,2", "31.12.2023,ftp://h/a?b={k},more {k},a@b.c,3", "2024/02/07,http://{k}.org,words,other,4", "01-02-2024,mailto:x,,2024-01-01,5", "12/31/2024,https://y.org,it,x,6 apples"))))
+_register("csv_types", _TYPED, lambda d: config.csv_profile(d).select("doc_id", "index", "name", "type", "min", "max", "nullable"), " UNION ALL ".join(f"SELECT k AS doc_id, {i} AS \"index\", '{n}' AS name, '{t}' AS type, {lo} AS \"min\", {hi} AS \"max\", {nullable} AS nullable FROM ({_PARTS}) src" for i, (n, t, lo, hi, nullable) in enumerate((("when", "date", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "false"), ("where", "url", "NULL", "NULL", "false"), ("what", "string", "NULL", "NULL", "true"), ("mixed", "mixed", "NULL", "NULL", "false"), ("amount", "number", "2.0", "6.0", "false")))))
+
+
+# Documents that can't be parsed, in each second file
+
+_BROKEN = {"json": ('{"a": {k}}', '{"a": }'), "xml": ("<a><b>{k}</b></a>", "<a><b></a>"), "yaml": ("a: {k}", "a: [1"), "toml": ("a = {k}", "a = = 1")}
+_BAD_FILES = " UNION ALL ".join(f"SELECT '{e}' || k AS doc_id, '{e}' AS ext, CASE WHEN key % 2 = 0 THEN {_quoted(bad)} ELSE {_quoted(good)} END AS content FROM ({_PARTS}) src" for e, (good, bad) in _BROKEN.items())
+_register("parse_errors", _BAD_FILES, lambda d: api.parse_errors(d).select("doc_id", (F.length("error") > 0).alias("told")), " UNION ALL ".join(f"SELECT '{e}' || k AS doc_id, true AS told FROM ({_PARTS}) src WHERE key % 2 = 0" for e in _BROKEN))
+_register("safe_outline", _BAD_FILES + f" UNION ALL SELECT 'u' || k, 'unknown', 'x' FROM ({_PARTS}) src", lambda d: api.outline(d, mode="PERMISSIVE").select("doc_id", "title"), " UNION ALL ".join(f"SELECT '{e}' || k AS doc_id, 'a' AS title FROM ({_PARTS}) src WHERE key % 2 = 1" for e in _BROKEN) + f" UNION ALL SELECT 'xml' || k, 'b' FROM ({_PARTS}) src WHERE key % 2 = 1")
+
+
 # Code: a file for each part
 
 _CODE: dict[str, tuple[tuple[str, ...], list[tuple]]] = {
     "ts": (("import { a } from 'm{k}';", "export class C{k} {", "  static v = 'class X {';", "  run(a: number, b?: string): string { return help(a); }", "  run2 = 1;", "}", "function help(x) { return x; }", "export const f{k} = (y) => help(y);"),
-           [(None, "C{k}", "class", 1, 2), (0, "v", "property", 2, 3), (0, "run", "method", 2, 4), (0, "run2", "property", 2, 5), (None, "help", "function", 1, 7), (None, "f{k}", "function", 1, 8)]),
-    "js": (("class C{k} extends B {", "  go(a, b = 2) { return a; }", "}", "exports.f{k} = function () {};", "let g = async x => x;"), [(None, "C{k}", "class", 1, 1), (0, "go", "method", 2, 2), (None, "f{k}", "function", 1, 4), (None, "g", "function", 1, 5)]),
-    "tsx": (("interface P { a: string }", "export const V{k} = ({ a }: P) => <b>{a}</b>;"), [(None, "P", "interface", 1, 1), (None, "V{k}", "function", 1, 2)]),
-    "py": (("import os", "from a.b import c", "class C{k}(Base):", "    size: int = 1", "    def _run(self, a: int, *b, c=2) -> str:", "        return help(a)", "async def help(x):", "    def inner(): pass", "    return c(x)"), [(None, "C{k}", "class", 1, 3), (0, "size", "property", 2, 4), (0, "_run", "method", 2, 5), (None, "help", "function", 1, 7), (3, "inner", "function", 2, 8)]),
-    "java": (("package a.b;", "import c.d.E;", "public class C{k} {", "  private int x = 1; // int y;", "  public C{k}(int x) { this.x = x; }", "  static <T> void run(T t, String... s) throws E { if (x > 1) { go(t); } }", "  enum K { A, B }", "}"), [(None, "a.b", "package", 1, 1), (None, "c.d.E", "import", 1, 2), (None, "C{k}", "class", 1, 3), (2, "x", "field", 2, 4), (2, "C{k}", "method", 2, 5), (2, "run", "method", 2, 6), (2, "K", "enum", 2, 7), (6, "A", "enum-value", 3, 7), (6, "B", "enum-value", 3, 7)]),
-    "cs": (("namespace N.M {", "  public struct S{k} {", "    public int X { get; set; } = 1;", "    int y;", "    internal static void Run(int a) => Go(a);", "  }", "}"), [(None, "N.M", "namespace", 1, 1), (0, "S{k}", "struct", 2, 2), (1, "X", "property", 3, 3), (1, "y", "field", 3, 4), (1, "Run", "method", 3, 5)]),
-    "cpp": (("#include <map>", "namespace n {", "struct S{k} {", "  int a;", "private:", "  virtual void run(int x) const;", "};", "int f{k}(int x) { return g(x); }", "}"), [(None, "<map>", "include", 1, 1), (None, "n", "namespace", 1, 2), (1, "S{k}", "struct", 2, 3), (2, "a", "field", 3, 4), (2, "run", "method", 3, 6), (1, "f{k}", "function", 2, 8)]),
-    "go": (("package p", "type S{k} struct {", "  A, B int", "}", "func (s *S{k}) Run(a, b int, c string) (int, error) {", "  return 1, nil", "}", "func f() {}", "const (", "  X = 1", "  Y", ")"), [(None, "S{k}", "struct", 1, 2), (0, "A", "field", 2, 3), (None, "Run", "method", 1, 5), (None, "f", "function", 1, 8), (None, "X", "constant", 1, 9)]),
-    "rs": (("pub struct S{k} { pub a: Vec<i32>, b: u8 }", "impl S{k} {", "  pub fn new(a: i32) -> Self { S { a } }", "}", "enum E { A, B(i32) }", "mod m { fn f<'a>(x: &'a str) {} }"), [(None, "S{k}", "struct", 1, 1), (0, "a", "field", 2, 1), (0, "b", "field", 2, 1), (None, "S{k}", "impl", 1, 2), (3, "new", "method", 2, 3), (None, "E", "enum", 1, 5), (5, "A", "enum-value", 2, 5), (5, "B", "enum-value", 2, 5), (None, "m", "module", 1, 6), (8, "f", "function", 2, 6)]),
-    "rb": (("module M", "  class C{k} < B", "    def self.run(a, b = 1)", "      if a then b end", "      list.each do |x| x end", "    end", "  end", "end", "def f{k}; end"), [(None, "M", "module", 1, 1), (0, "C{k}", "class", 2, 2), (1, "run", "method", 3, 3), (None, "f{k}", "function", 1, 9)]),
-    "php": (("<?php", "namespace A\\B;", "trait T{k} {", "  protected ?int $x = 1;", "  abstract public function go(int $a, string ...$b): void;", "}", "function f($y = 2) { return $y; }"), [(None, "A\\B", "namespace", 1, 2), (None, "T{k}", "trait", 1, 3), (1, "x", "property", 2, 4), (1, "go", "method", 2, 5), (None, "f", "function", 1, 7)]),
-    "kt": (("interface I { fun a(): Int }", "data class C{k}(val x: Int) : I {", "  private val y = 1", "  override fun a(): Int = help(y)", "}", "object O"), [(None, "I", "interface", 1, 1), (0, "a", "method", 2, 1), (None, "C{k}", "class", 1, 2), (2, "y", "property", 2, 3), (2, "a", "method", 2, 4), (None, "O", "object", 1, 6)]),
-    "swift": (("protocol P { func a() -> Int }", "struct S{k}: P {", "  let x: Int", "  func a() -> Int { return x }", "}", "enum E { case one, two }"), [(None, "P", "protocol", 1, 1), (0, "a", "method", 2, 1), (None, "S{k}", "struct", 1, 2), (2, "x", "property", 2, 3), (2, "a", "method", 2, 4), (None, "E", "enum", 1, 6), (5, "one", "enum-value", 2, 6)]),
-    "scala": (("trait T { def a: Int }", "case class C{k}(x: Int) extends T {", "  def a: Int = x", "  private def b(y: String)(z: Int): Unit = { go(y) }", "}"), [(None, "T", "trait", 1, 1), (0, "a", "method", 2, 1), (None, "C{k}", "class", 1, 2), (2, "a", "method", 2, 3), (2, "b", "method", 2, 4)]),
-    "lua": (("local function f{k}(a, ...)", "  if a then return a end", "end", "function M.go(b)", "  for i = 1, 2 do print(i) end", "end"), [(None, "f{k}", "function", 1, 1), (None, "go", "function", 1, 4)]),
+           [(None, 'C{k}', 'class', 1, 2, None), (0, 'v', 'property', 2, 3, '{"isStatic":true}'), (0, 'run', 'method', 2, 4, '{"parameters":[{"name":"a","type":"number"},{"name":"b","type":"string","optional":true}],"returnType":"string"}'), (0, 'run2', 'property', 2, 5, None), (None, 'help', 'function', 1, 7, '{"parameters":[{"name":"x"}]}'), (None, 'f{k}', 'function', 1, 8, '{"parameters":[{"name":"y"}]}')]),
+    "js": (("class C{k} extends B {", "  go(a, b = 2) { return a; }", "}", "exports.f{k} = function () {};", "let g = async x => x;"), [(None, 'C{k}', 'class', 1, 1, None), (0, 'go', 'method', 2, 2, '{"parameters":[{"name":"a"},{"name":"b","optional":true,"defaultValue":"2"}]}'), (None, 'f{k}', 'function', 1, 4, '{"parameters":[]}'), (None, 'g', 'function', 1, 5, '{"parameters":[]}')]),
+    "tsx": (("interface P { a: string }", "export const V{k} = ({ a }: P) => <b>{a}</b>;"), [(None, 'P', 'interface', 1, 1, None), (None, 'V{k}', 'function', 1, 2, '{"parameters":[{"name":"{ a }","type":"P"}]}')]),
+    "py": (("import os", "from a.b import c", "class C{k}(Base):", "    size: int = 1", "    def _run(self, a: int, *b, c=2) -> str:", "        return help(a)", "async def help(x):", "    def inner(): pass", "    return c(x)"), [(None, 'C{k}', 'class', 1, 3, '{"bases":["Base"]}'), (0, 'size', 'property', 2, 4, '{"visibility":"public","dataType":"int"}'), (0, '_run', 'method', 2, 5, '{"visibility":"protected","parameters":[{"name":"a","type":"int"},{"name":"*b"},{"name":"c","optional":true,"defaultValue":"2"}],"returnType":"str"}'), (None, 'help', 'function', 1, 7, '{"visibility":"public","parameters":[{"name":"x"}],"isAsync":true}'), (3, 'inner', 'function', 2, 8, '{"visibility":"public","parameters":[]}')]),
+    "java": (("package a.b;", "import c.d.E;", "public class C{k} {", "  private int x = 1; // int y;", "  public C{k}(int x) { this.x = x; }", "  static <T> void run(T t, String... s) throws E { if (x > 1) { go(t); } }", "  enum K { A, B }", "}"), [(None, 'a.b', 'package', 1, 1, None), (None, 'c.d.E', 'import', 1, 2, None), (None, 'C{k}', 'class', 1, 3, '{"visibility":"public"}'), (2, 'x', 'field', 2, 4, '{"visibility":"private","dataType":"int"}'), (2, 'C{k}', 'method', 2, 5, '{"visibility":"public","parameters":[{"name":"x","type":"int"}]}'), (2, 'run', 'method', 2, 6, '{"isStatic":true,"parameters":[{"name":"t","type":"T"},{"name":"String... s"}],"returnType":"void","typeParameters":"<T>"}'), (2, 'K', 'enum', 2, 7, None), (6, 'A', 'enum-value', 3, 7, None), (6, 'B', 'enum-value', 3, 7, None)]),
+    "cs": (("namespace N.M {", "  public struct S{k} {", "    public int X { get; set; } = 1;", "    int y;", "    internal static void Run(int a) => Go(a);", "  }", "}"), [(None, 'N.M', 'namespace', 1, 1, None), (0, 'S{k}', 'struct', 2, 2, '{"visibility":"public"}'), (1, 'X', 'property', 3, 3, '{"visibility":"public","dataType":"int"}'), (1, 'y', 'field', 3, 4, '{"dataType":"int"}'), (1, 'Run', 'method', 3, 5, '{"visibility":"internal","isStatic":true,"parameters":[{"name":"a","type":"int"}],"returnType":"void"}')]),
+    "cpp": (("#include <map>", "namespace n {", "struct S{k} {", "  int a;", "private:", "  virtual void run(int x) const;", "};", "int f{k}(int x) { return g(x); }", "}"), [(None, '<map>', 'include', 1, 1, None), (None, 'n', 'namespace', 1, 2, None), (1, 'S{k}', 'struct', 2, 3, None), (2, 'a', 'field', 3, 4, '{"visibility":"public","dataType":"int"}'), (2, 'run', 'method', 3, 6, '{"visibility":"private","isVirtual":true,"parameters":[{"name":"x","type":"int"}],"returnType":"void"}'), (1, 'f{k}', 'function', 2, 8, '{"parameters":[{"name":"x","type":"int"}],"returnType":"int"}')]),
+    "go": (("package p", "type S{k} struct {", "  A, B int", "}", "func (s *S{k}) Run(a, b int, c string) (int, error) {", "  return 1, nil", "}", "func f() {}", "const (", "  X = 1", "  Y", ")"), [(None, 'S{k}', 'struct', 1, 2, '{"visibility":"public"}'), (0, 'A', 'field', 2, 3, '{"visibility":"public","dataType":"int"}'), (None, 'Run', 'method', 1, 5, '{"visibility":"public","parameters":[{"name":"a","type":"int"},{"name":"c","type":"string"}],"returnType":"(int, error)","receiver":"(s *S{k})"}'), (None, 'f', 'function', 1, 8, '{"visibility":"private","parameters":[]}'), (None, 'X', 'constant', 1, 9, None)]),
+    "rs": (("pub struct S{k} { pub a: Vec<i32>, b: u8 }", "impl S{k} {", "  pub fn new(a: i32) -> Self { S { a } }", "}", "enum E { A, B(i32) }", "mod m { fn f<'a>(x: &'a str) {} }"), [(None, 'S{k}', 'struct', 1, 1, '{"visibility":"public"}'), (0, 'a', 'field', 2, 1, '{"visibility":"public","dataType":"Vec<i32>"}'), (0, 'b', 'field', 2, 1, '{"dataType":"u8"}'), (None, 'S{k}', 'impl', 1, 2, None), (3, 'new', 'method', 2, 3, '{"visibility":"public","parameters":[{"name":"a","type":"i32"}],"returnType":"Self"}'), (None, 'E', 'enum', 1, 5, None), (5, 'A', 'enum-value', 2, 5, None), (5, 'B', 'enum-value', 2, 5, None), (None, 'm', 'module', 1, 6, None), (8, 'f', 'function', 2, 6, '{"parameters":[{"name":"x","type":"&\'a str"}]}')]),
+    "rb": (("module M", "  class C{k} < B", "    def self.run(a, b = 1)", "      if a then b end", "      list.each do |x| x end", "    end", "  end", "end", "def f{k}; end"), [(None, 'M', 'module', 1, 1, None), (0, 'C{k}', 'class', 2, 2, None), (1, 'run', 'method', 3, 3, '{"parameters":[{"name":"a"},{"name":"b","optional":true,"defaultValue":"1"}],"isStatic":true}'), (None, 'f{k}', 'function', 1, 9, '{"parameters":[]}')]),
+    "php": (("<?php", "namespace A\\B;", "trait T{k} {", "  protected ?int $x = 1;", "  abstract public function go(int $a, string ...$b): void;", "}", "function f($y = 2) { return $y; }"), [(None, 'A\\B', 'namespace', 1, 2, None), (None, 'T{k}', 'trait', 1, 3, None), (1, 'x', 'property', 2, 4, '{"visibility":"protected","dataType":"?int"}'), (1, 'go', 'method', 2, 5, '{"visibility":"public","isAbstract":true,"parameters":[{"name":"$a","type":"int"},{"name":"$b","type":"string"}],"returnType":"void"}'), (None, 'f', 'function', 1, 7, '{"parameters":[{"name":"$y","optional":true,"defaultValue":"2"}]}')]),
+    "kt": (("interface I { fun a(): Int }", "data class C{k}(val x: Int) : I {", "  private val y = 1", "  override fun a(): Int = help(y)", "}", "object O"), [(None, 'I', 'interface', 1, 1, None), (0, 'a', 'method', 2, 1, '{"parameters":[],"returnType":"Int"}'), (None, 'C{k}', 'class', 1, 2, None), (2, 'y', 'property', 2, 3, '{"visibility":"private"}'), (2, 'a', 'method', 2, 4, '{"parameters":[],"returnType":"Int"}'), (None, 'O', 'object', 1, 6, None)]),
+    "swift": (("protocol P { func a() -> Int }", "struct S{k}: P {", "  let x: Int", "  func a() -> Int { return x }", "}", "enum E { case one, two }"), [(None, 'P', 'protocol', 1, 1, None), (0, 'a', 'method', 2, 1, '{"parameters":[],"returnType":"Int"}'), (None, 'S{k}', 'struct', 1, 2, None), (2, 'x', 'property', 2, 3, '{"dataType":"Int"}'), (2, 'a', 'method', 2, 4, '{"parameters":[],"returnType":"Int"}'), (None, 'E', 'enum', 1, 6, None), (5, 'one', 'enum-value', 2, 6, None)]),
+    "scala": (("trait T { def a: Int }", "case class C{k}(x: Int) extends T {", "  def a: Int = x", "  private def b(y: String)(z: Int): Unit = { go(y) }", "}"), [(None, 'T', 'trait', 1, 1, None), (0, 'a', 'method', 2, 1, '{"parameters":[],"returnType":"Int"}'), (None, 'C{k}', 'class', 1, 2, None), (2, 'a', 'method', 2, 3, '{"parameters":[],"returnType":"Int"}'), (2, 'b', 'method', 2, 4, '{"visibility":"private","parameters":[{"name":"y","type":"String"}],"returnType":"Unit"}')]),
+    "lua": (("local function f{k}(a, ...)", "  if a then return a end", "end", "function M.go(b)", "  for i = 1, 2 do print(i) end", "end"), [(None, 'f{k}', 'function', 1, 1, '{"parameters":[{"name":"a"},{"name":"..."}],"isLocal":true}'), (None, 'go', 'function', 1, 4, '{"parameters":[{"name":"b"}]}')]),
 }
 _CORPORA = {ext: _corpus(ext, _lines(*map(_quoted, lines))) for ext, (lines, _) in _CODE.items()}
 for _ext, (_, _rows) in _CODE.items():
-    _register(f"code_{_ext}", _CORPORA[_ext], lambda d: code.code_outline(d).select(*NODES), _expected(_rows))
+    _register(f"code_{_ext}", _CORPORA[_ext], lambda d: code.code_outline(d).select(*NODES, "metadata"), _expected([(*r[:5], _metadata(r[5])) for r in _rows], "metadata"))
+
+
+def _included(i: int) -> str:
+    """SQL of whether a part's file has the i-th snippet: all combinations occur."""
+    return f"floor(key / {2**i}) % 2 = 1"
+
+
+def _sampled(head: str, snippets: list[tuple]) -> tuple[str, str]:
+    """SQL of files that have the snippets whose turn it is, and of their nodes."""
+    content = _quoted(head) + f" || {NL}" if head else "''"
+    nodes, lines = "0", "1" if head else "0"
+    rows = []
+    for i, (text, found) in enumerate(snippets):
+        for at, (parent, title, kind, depth, line, meta) in enumerate(found):
+            above = "CAST(NULL AS INTEGER)" if parent is None else f"CAST({nodes} + {parent} AS INTEGER)"
+            rows.append(f"SELECT k AS doc_id, CAST({nodes} + {at} AS INTEGER) AS node_id, {above} AS parent_id, {_quoted(title)} AS title, '{kind}' AS type, {depth} AS depth, CAST({lines} + {line} AS INTEGER) AS line, {_metadata(meta)} AS metadata FROM ({_PARTS}) src WHERE {_included(i)}")
+        content += f" || CASE WHEN {_included(i)} THEN {_lines(*map(_quoted, text))} || {NL} ELSE '' END"
+        nodes += f" + CASE WHEN {_included(i)} THEN {len(found)} ELSE 0 END"
+        lines += f" + CASE WHEN {_included(i)} THEN {len(text)} ELSE 0 END"
+    return content, " UNION ALL ".join(rows)
+
+
+for _ext, (_head, _snippets) in SAMPLES.items():
+    _content, _nodes_sql = _sampled(_head, _snippets)
+    _register(f"extract_{_ext}", _corpus(_ext, _content), lambda d: code.code_outline(d).select(*NODES, "metadata"), _nodes_sql)
+_register("toml_symbols", _TOML, lambda d: api.symbols(d).select("doc_id", "name", "kind", "start_line", "exported"), " UNION ALL ".join(f"SELECT k AS doc_id, '{n}' AS name, 'variable' AS kind, {line} AS start_line, false AS exported FROM ({_PARTS}) src" for n, line in (("title", 1), ("a", 2), ("key", 3), ("a.b.c", 4), ("list", 5), ("d", 7), ("in", 8), ("x", 8), ("y", 8))))
 
 _OVERLOADS = _corpus("cs", _lines(*map(_quoted, ("class C{k} {", "  int Add(int a) => a;", "  int Add(int a, int b) => a;", "  void Go() {}", "  int Add() => 1;", "}"))))
 _register("overload_grouping", _OVERLOADS, lambda d: code.code_outline(d, grouped=True).select(*NODES, F.get_json_object("metadata", "$.overloads").cast("int").alias("overloads")), _expected([(None, "C{k}", "class", 1, 1, "CAST(NULL AS INTEGER)"), (0, "Add", "method", 2, 2, "3"), (0, "Go", "method", 2, 4, "NULL")], "overloads"))
@@ -249,6 +295,19 @@ _register("import_edges", _CORPORA["py"], lambda d: api.references(d).where("kin
 _register("script_edges", _CORPORA["ts"], lambda d: api.references(d).drop("seq"), _values("from to kind line", [("'f' || k || '.ts'", "'m' || k", "'imports'", 1), ("'C' || k || '.run'", "'help'", "'calls'", 4), ("'f' || k", "'help'", "'calls'", 8)]))
 
 
+_REPEATED = _corpus("ts", _lines(*map(_quoted, ("function f{k}() {}", "f{k}(); f{k}();", "f{k}();"))))
+_register("edge_dedupe", _REPEATED, lambda d: api.references(d).select("doc_id", "from", "to", "line"), _values("from to line", [("'f' || k || '.ts'", "'f' || k", 2), ("'f' || k || '.ts'", "'f' || k", 3)]))
+_LANGUAGES = " UNION ALL ".join(f"SELECT '{e}' || doc_id AS doc_id, ext, file_name, content FROM ({_CORPORA[e]})" for e in ("ts", "py", "go", "java", "lua"))
+
+
+def _edges_by_language(docs: DataFrame) -> DataFrame:
+    counts = api.references(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.select("doc_id", "ext").join(counts, "doc_id", "left").select("doc_id", "ext", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+_register("edges_by_language", _LANGUAGES, _edges_by_language, " UNION ALL ".join(f"SELECT '{e}' || k AS doc_id, '{e}' AS ext, CAST({n} AS BIGINT) AS n FROM ({_PARTS}) src" for e, n in (("ts", 3), ("py", 4), ("go", 0), ("java", 0), ("lua", 0))))
+
+
 # Doc comments
 
 
@@ -282,6 +341,25 @@ _doc("doc_plain", "", "Makes part {k}", "of {n}.", "", "No more.")
 _doc_oracle("doc_plain", dict(summary="Makes part {k} of {n}."))
 
 
+def _commented(docs: DataFrame) -> DataFrame:
+    meta = [F.get_json_object("metadata", f"$.{k}").alias(c) for k, c in (("docstring", "docstring"), ("doc.summary", "summary"), ("doc.params[0].name", "param"))]
+    return code.code_outline(docs, include_comments=True).select("doc_id", "title", *meta)
+
+
+def _documented(ext: str, lines: tuple[str, ...], rows: list[tuple]) -> None:
+    """Which comment belongs to which definition, how it is cleaned, and by which style it is read."""
+    def text(value: str | None) -> str:
+        return "CAST(NULL AS VARCHAR)" if value is None else f" || {NL} || ".join(f"({_quoted(v)})" for v in value.split("\n"))
+
+    _register(f"doc_attach_{ext}", _corpus(ext, _lines(*map(_quoted, lines))), _commented, " UNION ALL ".join(f"SELECT k AS doc_id, {text(r[0])} AS title, {text(r[1])} AS docstring, {text(r[2])} AS summary, {text(r[3])} AS param FROM ({_PARTS}) src" for r in rows))
+
+
+_documented("ts", ("/**", " * Makes {k}.", " * @param {string} x the {n}", " */", "function a{k}(x) {}", "", "// loose", "", "function b{k}() {}", "// one", "// two", "export function c{k}() {}", "/* block", " * text */", "class D{k} {", "  // inner", "  go() {}", "}"), [("a{k}", "Makes {k}.\n@param {string} x the {n}", "Makes {k}.", "x"), ("b{k}", None, None, None), ("c{k}", "one\ntwo", "one two", None), ("D{k}", "block\ntext", "block text", None), ("go", "inner", "inner", None)])
+_documented("py", ("def a{k}(x):", '    """Makes {k}.', "", "    Args:", '        x: the {n}"""', "", "# loose", "def b{k}(): pass"), [("a{k}", "Makes {k}.\n\n    Args:\n        x: the {n}", "Makes {k}.", "x"), ("b{k}", None, None, None)])
+_documented("java", ("class A{k} {", "  /** Makes <b>{k}</b>.", "   * @param x the {n} */", "  void go(int x) {}", "}"), [("A{k}", None, None, None), ("go", "Makes <b>{k}</b>.\n@param x the {n}", "Makes {k}.", "x")])
+_documented("cs", ("/// <summary>Makes {k}.</summary>", '/// <param name="x">the {n}</param>', "class A{k} {}"), [("A{k}", '<summary>Makes {k}.</summary>\n<param name="x">the {n}</param>', "Makes {k}.", "x")])
+
+
 # Formats
 
 _TREE = _corpus("md", _lines(*map(_quoted, ('# "{k}"', "## Size", "### It''s <{k}>", "# End"))).replace("''''", "''"))
@@ -301,21 +379,75 @@ _format("fmt_ascii_tree", "ascii-tree", '├─ "{k}" [heading] (line 1)\n  ├
 _format("fmt_ascii_compact", "tree", '├─ "{k}" [heading]\n  ├─ Size [heading]\n    ├─ It\'s <{k}> [heading]\n├─ End [heading]\n', compact=True)
 _format("fmt_csv", "csv", 'path,title,type,depth,line\n"""{k}""","""{k}""",heading,1,1\n"""{k}""/Size",Size,heading,2,2\n"""{k}""/Size/It\'s <{k}>",It\'s <{k}>,heading,3,3\nEnd,End,heading,1,4\n')
 _format("fmt_dot", "dot", 'digraph outline {\n  rankdir=LR;\n  node [shape=box];\n  n0 [label="\\"{k}\\"\\n[heading]"];\n  n1 [label="Size\\n[heading]"];\n  n2 [label="It\'s <{k}>\\n[heading]"];\n  n3 [label="End\\n[heading]"];\n  n0 -> n1;\n  n1 -> n2;\n}\n')
-_format("fmt_sql", "sql", sinks._SQL_TABLE + "".join(f"{sinks._SQL_INSERT}{i}, {p}, '{t}', 'heading', {d}, {i + 1});\n" for i, (p, t, d) in enumerate((("NULL", '"{k}"', 1), (0, "Size", 2), (1, "It''s <{k}>", 3), ("NULL", "End", 1)))))
+_SQL_HEAD = "CREATE TABLE outline_nodes (\n  id INTEGER PRIMARY KEY,\n  parent_id INTEGER,\n  title TEXT,\n  type TEXT,\n  depth INTEGER,\n  line INTEGER\n);\n\n"
+_format("fmt_sql", "sql", _SQL_HEAD + "".join(f"INSERT INTO outline_nodes (id, parent_id, title, type, depth, line) VALUES ({i}, {p}, '{t}', 'heading', {d}, {i + 1});\n" for i, (p, t, d) in enumerate((("NULL", '"{k}"', 1), (0, "Size", 2), (1, "It''s <{k}>", 3), ("NULL", "End", 1)))))
 _format("fmt_mermaid", "mermaid", 'flowchart TD\n  n0["\'{k}\'"]\n  n1["Size"]\n  n2["It\'s <{k}>"]\n  n3["End"]\n  n0 --> n1\n  n1 --> n2\n')
 _format("fmt_mermaid_class", "mermaid", 'classDiagram\n  class C{k}["C{k}"] {\n    -a\n    +run(x, y)\n  }\n', _CLASS)
 _format("fmt_plantuml", "plantuml", '@startmindmap\n* "{k}"\n** Size\n*** It\'s <{k}>\n* End\n@endmindmap\n')
 _format("fmt_plantuml_class", "plantuml", '@startuml\nclass "C{k}" as C{k} {\n  -a\n  +run(x, y)\n}\n@enduml\n', _CLASS)
 _format("fmt_json", "json", _json([dict(title="C{k}", type="class", depth=1, line=1, children=[dict(title="a", type="property", depth=2, line=2, metadata=dict(visibility="private", dataType="number")), dict(title="run", type="method", depth=2, line=3, metadata=dict(parameters=[dict(name="x"), dict(name="y")]))])]), _CLASS, compact=True)
 _format("fmt_yaml", "yaml", "- title: C{k}\n  type: class\n  depth: 1\n  line: 1\n  children:\n    - title: a\n      type: property\n      depth: 2\n      line: 2\n      metadata:\n        visibility: private\n        dataType: number\n    - title: run\n      type: method\n      depth: 2\n      line: 3\n      metadata:\n        parameters:\n          - name: x\n          - name: 'y'\n", _CLASS)
-_format("fmt_xml", "xml", sinks._XML_HEAD + '  <node title="C{k}" type="class" depth="1" line="1">\n    <node title="a" type="property" depth="2" line="2">\n      <metadata>\n        <entry key="visibility" value="private"/>\n        <entry key="dataType" value="number"/>\n      </metadata>\n    </node>\n    <node title="run" type="method" depth="2" line="3">\n      <metadata>\n        <entry key="parameters" value="[{&quot;name&quot;:&quot;x&quot;},{&quot;name&quot;:&quot;y&quot;}]"/>\n      </metadata>\n    </node>\n  </node>\n</outline>\n', _CLASS)
+_format("fmt_xml", "xml", '<?xml version="1.0" encoding="UTF-8"?>\n<outline>\n  <node title="C{k}" type="class" depth="1" line="1">\n    <node title="a" type="property" depth="2" line="2">\n      <metadata>\n        <entry key="visibility" value="private"/>\n        <entry key="dataType" value="number"/>\n      </metadata>\n    </node>\n    <node title="run" type="method" depth="2" line="3">\n      <metadata>\n        <entry key="parameters" value="[{&quot;name&quot;:&quot;x&quot;},{&quot;name&quot;:&quot;y&quot;}]"/>\n      </metadata>\n    </node>\n  </node>\n</outline>\n', _CLASS)
 
 
 def _item(depth: int, title: str, line: int, anchor: str) -> str:
     return "  " * (2 * depth - 1) + f'<li id="{anchor}">{title} <span class="type">[heading]</span> <span class="line">(line {line})</span>\n'
 
 
-_format("fmt_html", "html", sinks._HTML_HEAD + _item(1, "&quot;{k}&quot;", 1, "{k}") + "    <ul>\n" + _item(2, "Size", 2, "size") + "        <ul>\n" + _item(3, "It&apos;s &lt;{k}&gt;", 3, "its-{k}") + "          </li>\n        </ul>\n      </li>\n    </ul>\n  </li>\n" + _item(1, "End", 4, "end") + "  </li>\n" + sinks._HTML_FOOT)
+_PAGE = """<!DOCTYPE html>
+<html lang="en">
+<head>
+<meta charset="UTF-8">
+<title>Outline</title>
+<style>
+  ul { list-style: none; margin: 0.1rem 0; padding-left: 1.2rem; }
+  .type { color: #777; }
+  .line { color: #aaa; }
+</style>
+</head>
+<body>
+<h1>Outline</h1>
+<ul>
+"""
+_format("fmt_html", "html", _PAGE + _item(1, "&quot;{k}&quot;", 1, "{k}") + "    <ul>\n" + _item(2, "Size", 2, "size") + "        <ul>\n" + _item(3, "It&apos;s &lt;{k}&gt;", 3, "its-{k}") + "          </li>\n        </ul>\n      </li>\n    </ul>\n  </li>\n" + _item(1, "End", 4, "end") + "  </li>\n</ul>\n</body>\n</html>\n")
+
+
+# Registries and constants, and files
+
+
+def _listed(names: Callable[[], list[str]]) -> Query:
+    return lambda spark, sf_dir: spark.createDataFrame(list(enumerate(names())), "at int, name string")
+
+
+def _list_oracle(names: str) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS at, '{n}' AS name" for i, n in enumerate(names.split()))
+
+
+QUERIES["extension_registry"] = _listed(lambda: sorted(api.extensions()))
+ORACLE_SQL["extension_registry"] = _list_oracle("adoc asciidoc cc cfg conf cpp cs csv cxx env gemspec go h hh hpp htm html ini java js json jsx kt kts latex lua markdown md mediawiki org php phtml properties py rake rb rest rs rst sbt scala swift tex toml ts tsx wiki xml yaml yml")
+QUERIES["format_registry"] = _listed(sinks.formats)
+ORACLE_SQL["format_registry"] = _list_oracle("ascii-tree csv dot html json mermaid plantuml sql tree xml yaml")
+QUERIES["symbol_kinds"] = _listed(lambda: sorted(schema.symbol_table_schema()["properties"]["symbols"]["items"]["properties"]["kind"]["enum"]))
+ORACLE_SQL["symbol_kinds"] = _list_oracle("class constant constructor enum enum_member field function interface method module namespace property struct trait type_alias variable")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several extensions in nested folders, found again by a recursive scan of some."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessella-")
+    root = f"{base.rstrip('/')}/tessella-files-{uuid.uuid4().hex[:12]}"
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("# "), "n_name").alias("value"))
+    rows.write.partitionBy("k").text(f"{root}/a")
+    rows.write.partitionBy("k").option("header", False).csv(f"{root}/b")
+    found = read_documents(spark, root, recursive=True, extensions=["txt"])
+    return found.select(F.regexp_extract("path", "/a/k=([0-9]+)/", 1).alias("k"), "ext", "content")
+
+
+QUERIES["file_scan"] = _scanned
+ORACLE_SQL["file_scan"] = f"SELECT CAST(n_nationkey AS VARCHAR) AS k, 'txt' AS ext, '# ' || n_name || {NL} AS content FROM nation"
 
 
 # Trees, hashes and corpus summaries

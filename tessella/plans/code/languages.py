@@ -540,7 +540,7 @@ def _go_parameters(s: Scanner, a: int, b: int) -> list[dict]:
 def _go_result(s: Scanner, at: int) -> tuple[str | None, int]:
     m = re.compile(r"[^\S\n]*").match(s.mask, at)
     i = first = m.end()
-    while i < len(s.mask) and s.mask[i] not in "{\n;":
+    while i < len(s.mask) and s.mask[i] not in "{}\n;":
         i = s.close(i) + 1 if s.mask[i] in "([" else i + 1
         if s.mask[first:i].endswith(("interface", "struct")) and s.mask[i : i + 1] == "{":
             i = s.close(i) + 1

@@ -178,7 +178,7 @@ def csv_profile(docs: DataFrame) -> DataFrame:
         F.sum(F.col("sampled").cast("int")).alias("sampled"), F.max(F.col("at").isNotNull() & F.col("value").isNull()).alias("nullable"),
         F.count_distinct("value").alias("unique_values"), F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("at", "value")))).alias("values"),
         F.min(F.length("value")).alias("min_length"), F.max(F.length("value")).alias("max_length"), F.avg(F.length("value")).alias("mean"),
-        *[f(F.when(kinds["number"], F.regexp_extract("value", r"^[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 0).try_cast("double"))).alias(n) for n, f in (("low", F.min), ("high", F.max))],
+        *[f(F.regexp_extract("value", r"^[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 0).try_cast("double")).alias(n) for n, f in (("low", F.min), ("high", F.max))],
     )
     kind = F.when(F.col("sampled") == 0, "string")
     for n in ("email", "url", "boolean", "number", "date"):
