@@ -147,7 +147,7 @@ def csv_type_counts(value: Column) -> dict[str, Column]:
     day = F.when(value.rlike(r"^\d{4}"), F.substring(value, 9, 2)).otherwise(F.substring(value, 4, 2)).try_cast("int")
     return {
         "email": value.rlike(r"^[^@\s]+@[^@\s]+[.][^@\s]+\z"),
-        "url": value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~value.rlike(r"(?i)^(?:https?|ftp|wss?):/*(?:[/?#]|\z)") & ~value.rlike(r"(?i)^(?:https?|ftp|wss?):[/\\]*[^/?#]*\s"),
+        "url": value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~value.rlike(r"(?i)^(?:https?|ftp|wss?):[/\\]*+(?:[?#]|\z)") & ~value.rlike(r"(?i)^(?:https?|ftp|wss?):[/\\]*[^/?#]*\s"),
         "boolean": F.lower(value).isin(*"0 1 false n no true y yes".split()),
         "number": value.rlike(NUMBER),
         "date": value.rlike(date) & month.between(1, 12) & day.between(1, 31),
