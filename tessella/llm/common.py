@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,32 +70,51 @@ KEY_BITS, MAP_BITS = 16, 29
 _CELL = 15  # bits in a row of the collected bitmap, as a power of two
 
 
-class KeyFilter:
-    """A bitmap of the 64-bit hashes (``key``) in a written table, of bounded size whatever their
-    number: what isn't in it is certainly none of them, what is may be one."""
+class SharedBits:
+    """A ``KeyFilter``'s bitmap in Python workers."""
 
-    def __init__(self, keys: DataFrame):
-        power = min(MAP_BITS, (KEY_BITS * max(keys.count(), 1)).bit_length())
-        bit = F.shiftrightunsigned("key", 64 - power)
-        cells = keys.select(F.expr(f"{1 << _CELL}").alias("size"), bit.alias("bit")).groupBy(F.expr("bit div size").alias("cell")).agg(F.bitmap_construct_agg(F.expr("bit % size")).alias("map"))
-        out = np.zeros((1 << max(0, power - _CELL), (1 << _CELL) // 8), dtype=np.uint8)
-        for r in cells.collect():  # at most 2**MAP_BITS bits
-            out[r["cell"]] = np.frombuffer(r["map"], dtype=np.uint8)
-        self._shift = np.uint64(64 - power)
-        self._shared = keys.sparkSession.sparkContext.broadcast(out.ravel())
+    def __init__(self, power: int, bits):
+        self._power, self._bits = power, bits
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys.view(np.uint64) >> self._shift
-        return self._shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+        at = keys.view(np.uint64) >> np.uint64(64 - self._power)
+        return self._bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
-    def column(self, key: Column) -> Column:
-        """Whether a key may be one; false for null."""
 
-        @F.pandas_udf("boolean")
-        def within(values: pd.Series) -> pd.Series:
-            return pd.Series(self.has(values.to_numpy().astype(np.int64)))
+class KeyFilter:
+    """A bitmap of the 64-bit hashes (``key``) in a written table, of bounded size whatever their
+    number: what isn't in it is certainly none of them, what is may be one."""
 
-        return within(F.coalesce(key, F.lit(0).cast("long"))) & key.isNotNull()
+    def __init__(self, keys: DataFrame):
+        self._power = min(MAP_BITS, (KEY_BITS * max(keys.count(), 1)).bit_length())
+        cell, bit = self._place(F.col("key"))
+        cells = keys.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bitmap_construct_agg("bit").alias("map"))
+        self._cells = written(cells, "key-bits")  # at most 2**MAP_BITS bits
+
+    def _place(self, key: Column) -> tuple[Column, Column]:
+        """The row of the bitmap that has a key's bit, and the bit's place in it."""
+        bit = F.shiftrightunsigned(key, 64 - self._power)
+        return F.shiftright(bit, _CELL), bit.bitwiseAND(F.lit((1 << _CELL) - 1))
+
+    def shared(self) -> SharedBits:
+        """The same for Python workers."""
+        out = np.zeros((1 << max(0, self._power - _CELL), (1 << _CELL) // 8), dtype=np.uint8)
+        for r in self._cells.collect():
+            out[r["cell"]] = np.frombuffer(r["map"], dtype=np.uint8)
+        return SharedBits(self._power, self._cells.sparkSession.sparkContext.broadcast(out.ravel()))
+
+    def mark(self, rows: DataFrame, name: str, key: Column) -> DataFrame:
+        """``rows`` with a column that says whether a key may be one; false for null.  The bitmap
+        is broadcast to a join, so no row leaves the JVM or its partition."""
+        cell, bit = self._place(key)
+        placed = rows.withColumns({"_cell": cell, "_bit": bit.cast("int")})
+        byte = F.ascii(F.decode(F.col("_map").substr(F.shiftright("_bit", 3) + 1, F.lit(1)), "ISO-8859-1"))
+        found = placed.join(F.broadcast(self._cells.select(F.col("cell").alias("_cell"), F.col("map").alias("_map"))), "_cell", "left")
+        return found.withColumn(name, F.coalesce(F.getbit(byte, F.col("_bit").bitwiseAND(7)) > 0, F.lit(False))).drop("_cell", "_bit", "_map")
+
+    def keep(self, rows: DataFrame, key: Column) -> DataFrame:
+        """The ``rows`` whose key may be one."""
+        return self.mark(rows, "_may", key).where("_may").drop("_may")
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:

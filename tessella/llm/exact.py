@@ -34,11 +34,11 @@ def refined(docs: DataFrame, rows: DataFrame, prefix_chars: int = PREFIX_CHARS)
     text and null for others; ``size`` is the length in bytes.  Null texts survive nothing."""
     texts = pick(docs, "text").where("text is not null")
     length = F.xxhash64(F.octet_length("text"))
-    of_length = _shared(texts.select(length.alias("key"))).column
-    left = texts.where(of_length(length))
-    of_prefix = _shared(left.select(_prefix(prefix_chars).alias("key"))).column
-    marked = rows.withColumn("by_length", of_length(F.when(F.col("text").isNotNull(), length)))
-    marked = marked.withColumn("by_prefix", of_prefix(F.when(F.col("by_length"), _prefix(prefix_chars))))
+    of_length = _shared(texts.select(length.alias("key")))
+    left = of_length.keep(texts, length)
+    of_prefix = _shared(left.select(_prefix(prefix_chars).alias("key")))
+    marked = of_length.mark(rows, "by_length", F.when(F.col("text").isNotNull(), length))
+    marked = of_prefix.mark(marked, "by_prefix", F.when(F.col("by_length"), _prefix(prefix_chars)))
     return marked.withColumn("size", F.octet_length("text")).withColumn("full", F.when(F.col("by_prefix"), F.sha2("text", 256)))
 
 

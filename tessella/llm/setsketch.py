@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import KeyFilter, packed, sized, unpacked, written
+from tessella.llm.common import KeyFilter, SharedBits, packed, sized, unpacked, written
 from tessella.llm.components import connected_components
 from tessella.llm.words import mix, shingle_hashes, word_batches
 
@@ -109,7 +109,7 @@ def _sketch(shingle: int):
     return sketch
 
 
-def _bands(band_rows: int, among: KeyFilter | None):
+def _bands(band_rows: int, among: SharedBits | None):
     """(bucket, node) of each band, only for the buckets in ``among`` if that is given."""
 
     def bands(batches):
@@ -273,7 +273,7 @@ class _Groups:
         sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
         wanted = written(self.nodes.select("node", "u1", "u2").join(sized(sides.select("node").distinct()), "node", "left_semi"), "near-wanted")
         among = KeyFilter(wanted.select(F.col("u1").alias("key")))  # texts of other rows don't move
-        texts = self.rows.where(among.column(F.col("u1"))).select("u1", "u2", "text").join(sized(wanted), ["u1", "u2"]).select("node", "text")
+        texts = among.keep(self.rows, F.col("u1")).select("u1", "u2", "text").join(sized(wanted), ["u1", "u2"]).select("node", "text")
         sets = texts.mapInArrow(_set_rows(self.shingle), "node long, shingles binary").dropDuplicates(["node"])
         both = sides.join(sets, "node").groupBy("a", "b").agg(F.min_by("shingles", "node").alias("x"), F.max_by("shingles", "node").alias("y"))
         found = written(both.mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= self.threshold).select("a", "b"), "near-edges")
@@ -286,7 +286,7 @@ class _Groups:
         turned = F.col("node").bitwiseXOR(F.col("bucket"))
         leaders = spread.groupBy("bucket").agg(F.min(turned).alias("least"), F.max(turned).alias("most")).where("least <> most")
         leaders = written(leaders.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("leader")), "near-leaders")
-        among = KeyFilter(leaders.select(F.col("bucket").alias("key")))
+        among = KeyFilter(leaders.select(F.col("bucket").alias("key"))).shared()
         shared = self.nodes.select("node", "registers").mapInArrow(_bands(band_rows, among), "bucket long, node long")
         collisions = written(shared.join(sized(leaders), "bucket"), "near-buckets")
         sketched = self.nodes.select("node", "n", "registers").join(sized(written(collisions.select("node").distinct(), "near-colliding")), "node", "left_semi")
@@ -357,7 +357,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: flo
     same = (F.col("u1") == F.col("first.u1")) & (F.col("u2") == F.col("first.u2"))
     marks = written(members.join(sized(first), ["g1", "g2"]).select("u1", "u2", F.when(same, F.col("n")).otherwise(0).alias("n")).distinct(), "near-marks")
     among = KeyFilter(marks.select(F.col("u1").alias("key")))
-    rows = _rows(docs).drop("doc_id", "text").withColumn("may", among.column(F.col("u1")))
+    rows = among.mark(_rows(docs).drop("doc_id", "text"), "may", F.col("u1"))
     judged = rows.where("may").join(sized(marks), ["u1", "u2"], "left")
     kept = rows.where("not may").select("row").unionByName(judged.where("n is null or n = 1").select("row"))
     if not marks.where("n > 1").isEmpty():  # one of several equal rows
