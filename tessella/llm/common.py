@@ -65,9 +65,10 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
-#: Bits of a ``KeyFilter`` for each key, and at most (64 MB): beyond 2**25 keys more others pass by chance.
+#: Bits of a ``KeyFilter`` for each key, and at most (64 MB, twice that as a table): beyond 2**25 keys more others pass by chance.
 KEY_BITS, MAP_BITS = 16, 29
-_CELL = 15  # bits in a row of the collected bitmap, as a power of two
+_CELL = 15  # bits in a row of the written bitmap, as a power of two
+_PIECE = 9  # bits in a row of the broadcast one: each lookup copies a row's bits
 
 
 class SharedBits:
@@ -87,14 +88,15 @@ class KeyFilter:
 
     def __init__(self, keys: DataFrame):
         self._power = min(MAP_BITS, (KEY_BITS * max(keys.count(), 1)).bit_length())
-        cell, bit = self._place(F.col("key"))
+        cell, bit = self._place(F.col("key"), _CELL)
         cells = keys.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bitmap_construct_agg("bit").alias("map"))
         self._cells = written(cells, "key-bits")  # at most 2**MAP_BITS bits
 
-    def _place(self, key: Column) -> tuple[Column, Column]:
-        """The row of the bitmap that has a key's bit, and the bit's place in it."""
+    def _place(self, key: Column, power: int) -> tuple[Column, Column]:
+        """The row of the bitmap, cut into rows of 2**power bits, that has a key's bit, and the
+        bit's place in it."""
         bit = F.shiftrightunsigned(key, 64 - self._power)
-        return F.shiftright(bit, _CELL), bit.bitwiseAND(F.lit((1 << _CELL) - 1))
+        return F.shiftright(bit, power), bit.bitwiseAND(F.lit((1 << power) - 1))
 
     def shared(self) -> SharedBits:
         """The same for Python workers."""
@@ -106,10 +108,13 @@ class KeyFilter:
     def mark(self, rows: DataFrame, name: str, key: Column) -> DataFrame:
         """``rows`` with a column that says whether a key may be one; false for null.  The bitmap
         is broadcast to a join, so no row leaves the JVM or its partition."""
-        cell, bit = self._place(key)
+        cell, bit = self._place(key, _PIECE)
+        size, pieces = 1 << _PIECE - 3, 1 << _CELL - _PIECE
+        cut = self._cells.select("cell", "map", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("i"))
+        bits = cut.select((F.col("cell") * pieces + F.col("i")).alias("_cell"), F.col("map").substr(F.col("i") * size + 1, F.lit(size)).alias("_map"))
         placed = rows.withColumns({"_cell": cell, "_bit": bit.cast("int")})
         byte = F.ascii(F.decode(F.col("_map").substr(F.shiftright("_bit", 3) + 1, F.lit(1)), "ISO-8859-1"))
-        found = placed.join(F.broadcast(self._cells.select(F.col("cell").alias("_cell"), F.col("map").alias("_map"))), "_cell", "left")
+        found = placed.join(F.broadcast(bits.where(F.col("_map") != F.lit(bytes(size)))), "_cell", "left")
         return found.withColumn(name, F.coalesce(F.getbit(byte, F.col("_bit").bitwiseAND(7)) > 0, F.lit(False))).drop("_cell", "_bit", "_map")
 
     def keep(self, rows: DataFrame, key: Column) -> DataFrame:
