@@ -289,7 +289,7 @@ def _values(columns: str, rows: list[tuple]) -> str:
 _register("symbol_table", _CORPORA["ts"], lambda d: api.symbols(d).drop("seq"), _values("name qualified_name kind start_line end_line exported signature", [
     ("'C' || k", "'C' || k", "'class'", 2, 6, "true", "CAST(NULL AS VARCHAR)"), ("'v'", "'C' || k || '.v'", "'property'", 3, 3, "false", "NULL"), ("'run'", "'C' || k || '.run'", "'method'", 4, 4, "false", "'(a: number, b: string): string'"),
     ("'run2'", "'C' || k || '.run2'", "'property'", 5, 5, "false", "NULL"), ("'help'", "'help'", "'function'", 7, 7, "false", "'(x)'"), ("'f' || k", "'f' || k", "'function'", 8, 8, "true", "'(y)'")]))
-_register("qualified_names", _CORPORA["java"], lambda d: code.qualified_names(code.definitions(d)).select("doc_id", "qualified_name"), _values("qualified_name", [("'a.b'",), ("'c.d.E'",), *[(f"'C' || k || '{x}'",) for x in ("", ".x", ".run", ".K", ".K.A", ".K.B")], ("'C' || k || '.C' || k",)]))
+_register("qualified_names", _CORPORA["java"], lambda d: code.definitions(d).select("doc_id", "qualified_name"), _values("qualified_name", [("'a.b'",), ("'c.d.E'",), *[(f"'C' || k || '{x}'",) for x in ("", ".x", ".run", ".K", ".K.A", ".K.B")], ("'C' || k || '.C' || k",)]))
 _register("call_edges", _CORPORA["py"], lambda d: api.references(d).where("kind = 'calls'").drop("seq"), _values("from to kind line", [("'C' || k || '._run'", "'help'", "'calls'", 6), ("'help'", "'c'", "'calls'", 9)]))
 _register("import_edges", _CORPORA["py"], lambda d: api.references(d).where("kind = 'imports'").drop("seq"), _values("from to kind line", [("'f' || k || '.py'", "'os'", "'imports'", 1), ("'f' || k || '.py'", "'a.b'", "'imports'", 2)]))
 _register("script_edges", _CORPORA["ts"], lambda d: api.references(d).drop("seq"), _values("from to kind line", [("'f' || k || '.ts'", "'m' || k", "'imports'", 1), ("'C' || k || '.run'", "'help'", "'calls'", 4), ("'f' || k", "'help'", "'calls'", 8)]))
@@ -298,14 +298,7 @@ _register("script_edges", _CORPORA["ts"], lambda d: api.references(d).drop("seq"
 _REPEATED = _corpus("ts", _lines(*map(_quoted, ("function f{k}() {}", "f{k}(); f{k}();", "f{k}();"))))
 _register("edge_dedupe", _REPEATED, lambda d: api.references(d).select("doc_id", "from", "to", "line"), _values("from to line", [("'f' || k || '.ts'", "'f' || k", 2), ("'f' || k || '.ts'", "'f' || k", 3)]))
 _LANGUAGES = " UNION ALL ".join(f"SELECT '{e}' || doc_id AS doc_id, ext, file_name, content FROM ({_CORPORA[e]})" for e in ("ts", "py", "go", "java", "lua"))
-
-
-def _edges_by_language(docs: DataFrame) -> DataFrame:
-    counts = api.references(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return docs.select("doc_id", "ext").join(counts, "doc_id", "left").select("doc_id", "ext", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-
-
-_register("edges_by_language", _LANGUAGES, _edges_by_language, " UNION ALL ".join(f"SELECT '{e}' || k AS doc_id, '{e}' AS ext, CAST({n} AS BIGINT) AS n FROM ({_PARTS}) src" for e, n in (("ts", 3), ("py", 4), ("go", 0), ("java", 0), ("lua", 0))))
+_register("edges_by_language", _LANGUAGES, code.reference_counts, " UNION ALL ".join(f"SELECT '{e}' || k AS doc_id, '{e}' AS ext, CAST({n} AS BIGINT) AS n FROM ({_PARTS}) src" for e, n in (("ts", 3), ("py", 4), ("go", 0), ("java", 0), ("lua", 0))))
 
 
 # Doc comments
