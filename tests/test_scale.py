@@ -1,5 +1,9 @@
 """What must hold for large tables: work that grows with the input, and results as on small ones."""
 
+import time
+
+import pyarrow as pa
+
 from tessella import api, catalog
 from tessella.plans.code import outline as code
 
@@ -27,3 +31,15 @@ def test_edges_are_counted_without_a_join(spark):
     assert sorted(tuple(r) for r in counts.collect()) == [("1", "py", 2), ("2", "TS", 1), ("3", "go", 0), ("4", None, 0), ("5", "py", 0)]
     query = catalog.QUERIES["edges_by_language"](spark, "/root/testdata/sf0.001")
     assert "Join" not in _plan(query) and "hashpartitioning" not in _plan(query)
+
+
+def test_toml_symbols_take_time_in_proportion():
+    def seconds(n):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(n)], "content": ["[a]\nb = 1\nc = {d = 2}\n[a.e]\nf = 3\n"] * n})
+        began = time.process_time()
+        (out,) = code._mapped_toml(iter([batch]))
+        assert out.num_rows == 6 * n and out.column("def_id").to_pylist() == [*range(6)] * n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(4000) < 10 * seconds(1000)
