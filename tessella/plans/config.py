@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import DOT, WS, generate_id, trim
+from tessella.functions.text import DOT, WS, generate_id, let, trim
 from tessella.operators.lines import explode_lines, split_lines
 from tessella.operators.tree import assemble
 from tessella.schema import NODE_COLUMNS
@@ -64,11 +62,6 @@ def _number(text: Column) -> Column:
     return (text == "") | text.rlike(NUMBER)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
-
-
 def csv_fields(line: Column, delimiter: Column | str) -> Column:
     """The trimmed fields of a line.  A quote opens or closes anywhere, a doubled one within
     quotes stays, and a delimiter counts only outside of quotes: where an even number of quotes
