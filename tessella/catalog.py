@@ -27,6 +27,7 @@ from tessella.streaming.incremental import changed
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 NL = "chr(10)"
+PARTS_IN_TASK = 10_000
 
 
 def _lines(*lines: str) -> str:
@@ -52,8 +53,8 @@ def _documents(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for t in TABLES:
         if f" {t}" in sql:
             rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-            if t == "part":  # a small file that many documents are made of: spread its rows
-                rows = rows.repartition(spark.sparkContext.defaultParallelism)
+            if t == "part":  # a small file that many documents are made of: spread its rows, as many to a task at any size
+                rows = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // PARTS_IN_TASK)))
             rows.createOrReplaceTempView(t)
     return spark.sql(sql)
 
