@@ -225,9 +225,64 @@ def _yaml_dumper():
     return Dumper
 
 
+#: Strings of one line that YAML writes as they are, if they mean nothing else.
+_PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:[ ./(){}<>=+*$-]*[A-Za-z0-9_(){}<>=+*$])*")
+_ONE_LINE = re.compile(r"[\x20-\x7e]{1,100}")
+_WORDS = frozenset("y yes n no true false on off null".split())
+
+
+@lru_cache(maxsize=1 << 16)
+def _yaml_text(text: str) -> str:
+    """A string of one line as the dumper writes it; the dumper itself is slow."""
+    import yaml
+
+    if text.lower() not in _WORDS and _PLAIN.fullmatch(text):
+        return text
+    return yaml.dump([text], Dumper=_yaml_dumper(), allow_unicode=True, width=float("inf"))[2:-1]
+
+
+def _yaml_lines(value: object, pad: str, out: list[str]) -> None:
+    """The lines of a mapping or list that isn't empty; ValueError for what the dumper must write."""
+    pairs = [("- ", v) for v in value] if isinstance(value, list) else [(_yaml_key(k), v) for k, v in value.items()]
+    for head, v in pairs:
+        if isinstance(v, (dict, list)) and v:
+            if head != "- ":
+                out.append(f"{pad}{head}")
+                _yaml_lines(v, pad + "  ", out)
+                continue
+            first = len(out)
+            _yaml_lines(v, pad + "  ", out)
+            out[first] = f"{pad}- {out[first][len(pad) + 2 :]}"
+            continue
+        if isinstance(v, str):
+            if not _ONE_LINE.fullmatch(v):
+                raise ValueError
+            text = _yaml_text(v)
+        elif v is None or isinstance(v, (bool, int)):
+            text = "null" if v is None else str(v).lower()
+        elif v == [] or v == {}:
+            text = "[]" if isinstance(v, list) else "{}"
+        else:
+            raise ValueError
+        out.append(f"{pad}{head}{text}" if head == "- " else f"{pad}{head} {text}")
+
+
+def _yaml_key(key: str) -> str:
+    if not _ONE_LINE.fullmatch(key):
+        raise ValueError
+    return f"{_yaml_text(key)}:"
+
+
 def _dump_yaml(tree):
     import yaml
 
+    try:
+        out: list[str] = []
+        _yaml_lines(tree, "", out)
+        if out:
+            return "\n".join(out) + "\n"
+    except ValueError:
+        pass
     return yaml.dump(tree, Dumper=_yaml_dumper(), sort_keys=False, allow_unicode=True, width=float("inf"))
 
 
