@@ -1,10 +1,15 @@
 """What must hold for large tables: work that grows with the input, and results as on small ones."""
 
+import json
 import time
 
 import pyarrow as pa
+import yaml
+from pyspark.sql import functions as F
 
-from tessella import api, catalog
+from tessella import api, catalog, sinks
+from tessella.functions.docstrings import parse_doc_json
+from tessella.plans import nested
 from tessella.plans.code import outline as code
 
 FILES = "doc_id string, ext string, file_name string, content string"
@@ -43,3 +48,33 @@ def test_toml_symbols_take_time_in_proportion():
 
     seconds(100)
     assert seconds(4000) < 10 * seconds(1000)
+
+
+def test_doc_comments_are_split_once(spark):
+    docs = spark.createDataFrame([("S.\n:param int a: b\n:type c: d\n:param c: e\n:param a:\n:rtype: R\n:returns: x",)], "t string")
+    for style in ("pydoc", "jsdoc", "javadoc"):
+        plan = docs.select(parse_doc_json(F.lit(style), F.col("t")).alias("doc"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= plan.count("split(") <= 2
+    doc = docs.select(parse_doc_json(F.lit("pydoc"), F.col("t")).alias("doc")).first().doc
+    assert json.loads(doc) == {"summary": "S.", "params": [{"name": "a", "type": "int", "description": "b"}, {"name": "c", "type": "d", "description": "e"}], "returns": {"type": "R", "description": "x"}}
+
+
+def test_tasks_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "PARTS_IN_TASK", 20)
+    assert catalog.QUERIES["doc_attach_ts"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 10
+
+
+def test_yaml_is_written_and_read_fast_and_alike(monkeypatch):
+    tree = [dict(title="C1", type="class", depth=1, children=[dict(title=t, type="y", metadata=dict(a=[], b=[dict(name="x: y"), dict(name="'q'")], c=True)) for t in ("run", "no", "a #b", "- x", "1", "", "l\nm", "é", "a -")])]
+    want = yaml.dump(tree, Dumper=sinks._yaml_dumper(), sort_keys=False, allow_unicode=True, width=float("inf"))
+    assert sinks._dump_yaml(tree) == want
+    text = "name: a b\nsize: 3\ntags:\n  - yes\n  - {a: true}\nday: 2024-01-01\nnone:\n"
+    nodes = [(n.title, n.kind, n.meta) for n in nested.parse_yaml(text)]
+    assert [k for _, k, _ in nodes] == ["string", "number", "array", "object", "null"]
+    monkeypatch.setattr(yaml.SafeLoader, "__init__", None)  # the slow reader
+    monkeypatch.setattr(yaml, "dump", None)
+    assert [(n.title, n.kind, n.meta) for n in nested.parse_yaml(text)] == nodes
+    assert sinks._dump_yaml([dict(title="C1", type="class", children=[dict(title="run", line=3)])]) == "- title: C1\n  type: class\n  children:\n    - title: run\n      line: 3\n"
+    began = time.process_time()
+    assert not nested._YAML_PLAIN.fullmatch("- - - - x\n" * 2000 + "?")
+    assert time.process_time() - began < 5
