@@ -10,6 +10,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +54,8 @@ def _documents(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for t in TABLES:
         if f" {t}" in sql:
             rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-            if t == "part":  # a small file that many documents are made of: spread its rows, as many to a task at any size
-                rows = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // PARTS_IN_TASK)))
+            if t == "part":  # a small file that many documents are made of: spread its rows, as many to a task at any size, by what is doc_id then
+                rows = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // PARTS_IN_TASK)), F.col("p_partkey").cast("string"))
             rows.createOrReplaceTempView(t)
     return spark.sql(sql)
 
@@ -361,12 +362,12 @@ _CLASS = _corpus("ts", _lines(*map(_quoted, ("class C{k} {", "  private a: numbe
 
 
 def _format(name: str, fmt: str, text: str, corpus: str = _TREE, **options) -> None:
-    QUERIES[name] = lambda spark, sf_dir: sinks.format_outline(_nodes(_documents(spark, sf_dir, corpus)), fmt, **options)
+    QUERIES[name] = lambda spark, sf_dir: sinks.format_outline(_nodes(_documents(spark, sf_dir, corpus), "md" if corpus is _TREE else "ts"), fmt, **options)
     ORACLE_SQL[name] = f"SELECT k AS doc_id, {_quoted(text)} AS output FROM ({_PARTS}) src"
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    return api.outline(docs, include_line_numbers=True, only=["md", "ts"])
+def _nodes(docs: DataFrame, ext: str) -> DataFrame:
+    return api.outline(docs, include_line_numbers=True, only=[ext])  # a union would forget how documents are spread
 
 
 _format("fmt_ascii_tree", "ascii-tree", '├─ "{k}" [heading] (line 1)\n  ├─ Size [heading] (line 2)\n    ├─ It\'s <{k}> [heading] (line 3)\n├─ End [heading] (line 4)\n')
@@ -467,8 +468,9 @@ ORACLE_SQL["incremental_antijoin"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id,
 def _type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = " UNION ALL ".join(f"SELECT '{e}' || doc_id AS doc_id, ext, file_name, content FROM ({c})" for e, c in (("m", _MD), ("i", _INI), ("t", _CORPORA["ts"]), ("p", _CORPORA["py"])))
     docs = _documents(spark, sf_dir, corpus)
-    nodes = api.outline(docs, only=["md", "ini", "ts", "py"])
-    return nodes.join(docs.select("doc_id", "ext"), "doc_id").groupBy("ext", "type").agg(F.count("*").alias("n"))
+    # an outline for each extension, so its nodes need no join to tell it
+    nodes = [api.outline(docs, only=[e]).select(F.lit(e).alias("ext"), "type") for e in ("md", "ini", "ts", "py")]
+    return reduce(DataFrame.unionByName, nodes).groupBy("ext", "type").agg(F.count("*").alias("n"))
 
 
 QUERIES["corpus_type_counts"] = _type_counts

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import anchor, generate_id
+from tessella.functions.text import anchor, generate_id, let
 from tessella.schema import NODE_COLUMNS
 
 #: Items: doc_id, seq, line, title, type, is_section, depth, metadata.
@@ -90,21 +90,30 @@ def renumber(nodes: DataFrame) -> DataFrame:
     return numbered.join(parents, ["doc_id", "parent_id"], "left").withColumn("node_id", F.col("new_id")).withColumn("parent_id", F.col("new_parent")).select(*NODE_COLUMNS)
 
 
-def with_paths(nodes: DataFrame, max_nesting: int = 64) -> DataFrame:
-    """``nodes`` with ``path``, the titles from the root to the node.
+def path_rows(nodes: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, all): each document's nodes in order, as structs of ``node_id``, ``path`` (the titles
+    from the root to the node) and ``columns``.
 
     Pre-order makes the ancestors the latest earlier nodes of each smaller tree depth, so the
-    path is a fold over the document's nodes and needs no recursion.
+    path is a fold over the document's nodes and needs no recursion.  The columns are carried
+    along, so the nodes aren't joined to their paths.
     """
-    group = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "tree_depth", "title"))).alias("all"))
+    group = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "tree_depth", "title", F.struct(*columns).alias("own")))).alias("all"))
+    own = group.schema["all"].dataType.elementType["own"].dataType.simpleString()
 
     def step(acc, x):
         path = F.concat(F.slice(acc["path"], 1, x["tree_depth"] - 1), F.array(x["title"]))
-        return F.struct(path.alias("path"), F.concat(acc["out"], F.array(F.struct(x["node_id"].alias("node_id"), path.alias("path")))).alias("out"))
+        return let(path, lambda p: F.struct(p.alias("path"), F.concat(acc["out"], F.array(F.struct(x["node_id"].alias("node_id"), p.alias("path"), x["own"].alias("own")))).alias("out")))
+
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast(f"array<struct<node_id:int,path:array<string>,own:{own}>>").alias("out"))
+    return group.select("doc_id", F.aggregate("all", start, step, lambda acc: acc["out"]).alias("all"))
 
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<node_id:int,path:array<string>>>").alias("out"))
-    paths = group.select("doc_id", F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("p")).select("doc_id", "p.node_id", "p.path")
-    return nodes.join(paths, ["doc_id", "node_id"])
+
+def with_paths(nodes: DataFrame, max_nesting: int = 64) -> DataFrame:
+    """``nodes`` with ``path``, the titles from the root to the node."""
+    columns = [c for c in nodes.columns if c != "doc_id"]
+    rows = path_rows(nodes, *columns)
+    return rows.select("doc_id", F.explode("all").alias("p")).select(*["doc_id" if c == "doc_id" else F.col(f"p.own.{c}") for c in nodes.columns], "p.path")
 
 
 def enclosing(inner: DataFrame, outer: DataFrame) -> DataFrame:

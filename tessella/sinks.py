@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessella.errors import UnsupportedFormatError
 from tessella.functions.text import escape_csv, escape_sql, escape_xml, sanitize_id
-from tessella.operators.tree import with_paths
+from tessella.operators.tree import path_rows
 
 CLASS_TYPES = tuple("class enum interface object struct trait type union".split())
 MEMBER_TYPES = tuple("constructor destructor enum-value field function interface-method interface-property method operator property".split())
@@ -56,14 +56,23 @@ def ascii_tree(nodes: DataFrame, compact: bool = False) -> DataFrame:
     return _output(_joined(nodes.select("doc_id", "node_id", text.alias("t")), "t"), F.col("t"))
 
 
+def _csv_row(node: Column) -> Column:
+    own = node["own"]
+    return F.concat_ws(",", escape_csv(F.array_join(node["path"], "/")), escape_csv(own["title"]), escape_csv(own["type"]), own["tree_depth"].cast("string"), F.coalesce(own["line"].cast("string"), F.lit("")))
+
+
+_CSV_COLUMNS = ("title", "type", "tree_depth", "line")
+
+
 def csv_rows(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, row) of the CSV format, for writing a corpus as rows."""
-    row = F.concat_ws(",", escape_csv(F.array_join("path", "/")), escape_csv(F.col("title")), escape_csv(F.col("type")), F.col("tree_depth").cast("string"), F.coalesce(F.col("line").cast("string"), F.lit("")))
-    return with_paths(nodes).select("doc_id", "node_id", row.alias("row"))
+    rows = path_rows(nodes, *_CSV_COLUMNS).select("doc_id", F.explode("all").alias("p"))
+    return rows.select("doc_id", F.col("p.node_id").alias("node_id"), _csv_row(F.col("p")).alias("row"))
 
 
 def csv(nodes: DataFrame) -> DataFrame:
-    return _output(_joined(csv_rows(nodes), "row", sep="\n"), F.concat(F.lit("path,title,type,depth,line\n"), F.col("row"), F.lit("\n")))
+    rows = F.array_join(F.transform("all", _csv_row), "\n")
+    return path_rows(nodes, *_CSV_COLUMNS).select("doc_id", F.concat(F.lit("path,title,type,depth,line\n"), rows, F.lit("\n")).alias("output"))
 
 
 _SQL_COLUMNS = dict(id="INTEGER PRIMARY KEY", parent_id="INTEGER") | dict.fromkeys(("title", "type"), "TEXT") | dict.fromkeys(("depth", "line"), "INTEGER")
