@@ -1,8 +1,15 @@
-"""Outlines of INI files, properties and CSV tables, as plans of built-in expressions."""
+"""Outlines of INI files and properties, as plans of built-in expressions, and of CSV tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import DOT, WS, generate_id, let, trim
@@ -132,19 +139,125 @@ def csv_tables(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", "delimiter", F.transform("lines", lambda t: csv_fields(t, F.col("delimiter"))).alias("rows")).withColumn("has_header", csv_has_header(F.col("rows")))
 
 
-def csv_type_counts(value: Column) -> dict[str, Column]:
-    """For each inferred type, whether a value has it."""
-    two, four = "[0-9]{2}", "[0-9]{4}"
-    date = "^(?:" + "|".join((f"{four}-{two}-{two}", f"{four}/{two}/{two}", *(f"{two}{mark}{two}{mark}{four}" for mark in ("-", "/", "[.]")))) + r")\z"
-    month = F.when(value.rlike(r"^\d{4}"), F.substring(value, 6, 2)).otherwise(F.substring(value, 1, 2)).try_cast("int")
-    day = F.when(value.rlike(r"^\d{4}"), F.substring(value, 9, 2)).otherwise(F.substring(value, 4, 2)).try_cast("int")
-    return {
-        "email": value.rlike(r"^[^@\s]+@[^@\s]+[.][^@\s]+\z"),
-        "url": value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~value.rlike(r"(?i)^(?:https?|ftp|wss?):[/\\]*+(?:[?#]|\z)") & ~value.rlike(r"(?i)^(?:https?|ftp|wss?):[/\\]*[^/?#]*\s"),
-        "boolean": F.lower(value).isin(*"0 1 false n no true y yes".split()),
-        "number": value.rlike(NUMBER),
-        "date": value.rlike(date) & month.between(1, 12) & day.between(1, 31),
-    }
+# The same in Python, for the profile: it needs each cell several times, and Spark would make a row of each
+
+_BLANK = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_NUMBER = re.compile(NUMBER.replace(r"\z", r"\Z"), re.A)
+_LEADING = re.compile(r"[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", re.A)
+_EMAIL = re.compile(r"[^@\s]+@[^@\s]+[.][^@\s]+\Z", re.A)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+_NO_HOST = re.compile(r"(?i)(?:https?|ftp|wss?):(?:[/\\]*+(?:[?#]|\Z)|[/\\]*[^/?#]*\s)", re.A)
+_DATE = re.compile(r"(?:(?P<y>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2})|[0-9]{2}(?P<m>[-/.])[0-9]{2}(?P=m)[0-9]{4})\Z")
+_LETTERS = re.compile("[A-Za-z]")
+_BOOLEANS = frozenset("0 1 false n no true y yes".split())
+_PROFILE = "doc_id string, index int, name string, type string, nullable boolean, unique_values bigint, sample_values array<string>, min_length int, max_length int, avg_length double, min double, max double, columns int"
+_PROFILE_KINDS = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32(), *[pa.float64()] * 3, pa.int32()]
+
+
+def _fields(line: str, delimiter: str) -> list[str]:
+    """``csv_fields`` of one line."""
+    if '"' not in line:
+        return [p.strip(_BLANK) for p in line.split(delimiter)]
+    pieces = (line + '"' if line.count('"') % 2 else line).split('"')
+    parts = [""]
+    for i, piece in enumerate(pieces):
+        first, *more = [piece] if i % 2 else piece.split(delimiter)
+        parts[-1] += ('"' if i else "") + first
+        parts += more
+    return [_bare(p).strip(_BLANK) for p in parts]
+
+
+def _bare(part: str) -> str:
+    out, *rest = part.split('"')
+    is_open = second = False
+    for i, piece in enumerate(rest):
+        pair = is_open and not second and piece == "" and i < len(rest) - 1
+        if not second and not pair:
+            is_open = not is_open
+        out += '"' if pair else piece
+        second = pair
+    return out
+
+
+def _delimiter(lines: list[str]) -> str:
+    """``csv_delimiter`` of lines."""
+    head = lines[:10]
+
+    def score(delimiter: str) -> float:
+        sizes = [len(_fields(t, delimiter)) if '"' in t else t.count(delimiter) + 1 for t in head]
+        mean = sum(sizes) / len(sizes)
+        spread = 0.0
+        for x in sizes:
+            spread += (x - mean) * (x - mean)
+        return (1 / (1 + spread / len(sizes)) if mean > 1 else 0.0) * (1.0 if 2 <= mean <= 50 else 0.5) * mean
+
+    return max(DELIMITERS, key=score)  # the first of equals
+
+
+def _has_header(rows: list[list[str]]) -> bool:
+    """``csv_has_header`` of rows."""
+    if len(rows) < 2 or len(rows[0]) != len(rows[1]):
+        return False
+    number = lambda x: x == "" or bool(_NUMBER.match(x))
+    total = 0
+    for a, b in zip(rows[0], rows[1]):
+        total += 2 * (not number(a) and number(b)) + (len(a) > len(b) and len(a) > 3) + bool(_LETTERS.search(a) and not _LETTERS.search(b)) - 2 * (a == "")
+    return total > 0
+
+
+def _is_date(value: str) -> bool:
+    m = _DATE.match(value)
+    month, day = (value[5:7], value[8:10]) if m and m["y"] else (value[:2], value[3:5])
+    return bool(m) and 1 <= int(month) <= 12 and 1 <= int(day) <= 31
+
+
+_TYPES: dict[str, Callable[[str], object]] = {
+    "email": _EMAIL.match,
+    "url": lambda v: _SCHEME.match(v) and not _NO_HOST.match(v),
+    "boolean": lambda v: v.lower() in _BOOLEANS,
+    "number": _NUMBER.match,
+    "date": _is_date,
+}
+
+
+def _type(sample: list[str]) -> str:
+    """The type of four fifths of the values; mixed if they have several."""
+    counts = {n: sum(1 for v in sample if of(v)) for n, of in _TYPES.items()}
+    for n, count in counts.items():
+        if sample and count / len(sample) >= 0.8:
+            return n
+    return "mixed" if sum(c > 0 for c in counts.values()) > 1 else "string"
+
+
+def _profile(doc_id: str, content: str) -> Iterator[tuple]:
+    lines = [t for t in (line.strip(_BLANK) for line in content.split("\n")) if t]
+    if not lines:
+        return
+    delimiter = _delimiter(lines)
+    rows = [_fields(t, delimiter) for t in lines]
+    counts = Counter(map(len, rows))
+    columns = max(counts, key=counts.__getitem__)  # the first of equals
+    names, data = (rows[0], rows[1:]) if _has_header(rows) else ([], rows)
+    for i in range(columns):
+        values = [r[i] for r in data if i < len(r) and r[i]]
+        distinct = dict.fromkeys(values)
+        lengths = [len(v) for v in values]
+        kind = _type(values[:100])
+        low = high = None
+        if kind == "number":
+            numbers = [float(m[0]) for v in values if (m := _LEADING.match(v))]
+            low, high = min(numbers, default=None), max(numbers, default=None)
+        mean = sum(lengths) / len(lengths) if lengths else 0.0
+        name = (names[i] if i < len(names) else "") or f"Column_{i + 1}"
+        yield doc_id, i, name, kind, len(values) < len(data), len(distinct), list(islice(distinct, 5)), min(lengths, default=None), max(lengths, default=None), math.floor(mean * 100 + 0.5) / 100, low, high, columns
+
+
+def _mapped_profile(batches):
+    names = [f.split()[0] for f in _PROFILE.split(", ")]
+    for batch in batches:
+        rows = [row for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()) if content is not None for row in _profile(doc_id, content)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PROFILE_KINDS)], names)
 
 
 def csv_profile(docs: DataFrame) -> DataFrame:
@@ -152,34 +265,9 @@ def csv_profile(docs: DataFrame) -> DataFrame:
     avg_length, min, max, columns): a row for each column of each document.
 
     The number of columns is the most frequent row length, the first seen of equals.  Lengths of
-    a column without values are null.
+    a column without values are null.  A document's cells stay in one Python call and aren't shuffled.
     """
-    tables = csv_tables(docs)
-    sizes = F.transform("rows", lambda r: F.size(r))
-    counts = F.transform(F.array_distinct(sizes), lambda s, i: F.struct(F.size(F.filter(sizes, lambda x: x == s)).alias("n"), (-i).alias("first"), s.alias("size")))
-    tables = tables.withColumn("columns", F.array_max(counts)["size"])
-    data = F.when(F.col("has_header"), F.slice(F.col("rows"), 2, F.size("rows"))).otherwise(F.col("rows"))
-    names = F.when(F.col("has_header"), F.element_at("rows", 1))
-    every = tables.select("doc_id", "columns", names.alias("names"), data.alias("data"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("index"))
-    name = F.coalesce(F.nullif(F.get("names", F.col("index")), F.lit("")), F.concat(F.lit("Column_"), (F.col("index") + 1).cast("string")))
-    cells = every.select("doc_id", "columns", "index", name.alias("name"), F.posexplode_outer("data").alias("at", "row")).withColumn("value", F.nullif(F.get("row", F.col("index")), F.lit("")))
-    kinds = csv_type_counts(F.col("value"))
-    seen = F.count("value").over(Window.partitionBy("doc_id", "index").orderBy("at"))
-    cells = cells.withColumn("sampled", F.col("value").isNotNull() & (seen <= 100))
-    group = cells.groupBy("doc_id", "index", "name", "columns").agg(
-        *[F.sum(F.when(F.col("sampled") & k, 1).otherwise(0)).alias(f"is_{n}") for n, k in kinds.items()],
-        F.sum(F.col("sampled").cast("int")).alias("sampled"), F.max(F.col("at").isNotNull() & F.col("value").isNull()).alias("nullable"),
-        F.count_distinct("value").alias("unique_values"), F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("at", "value")))).alias("values"),
-        F.min(F.length("value")).alias("min_length"), F.max(F.length("value")).alias("max_length"), F.avg(F.length("value")).alias("mean"),
-        *[f(F.regexp_extract("value", r"^[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 0).try_cast("double")).alias(n) for n, f in (("low", F.min), ("high", F.max))],
-    )
-    kind = F.when(F.col("sampled") == 0, "string")
-    for n in ("email", "url", "boolean", "number", "date"):
-        kind = kind.when(F.col(f"is_{n}") / F.col("sampled") >= 0.8, n)
-    several = sum(((F.col(f"is_{n}") > 0).cast("int") for n in kinds), F.lit(0)) > 1
-    rows = group.withColumn("type", kind.when(several, "mixed").otherwise("string"))
-    number = F.col("type") == "number"
-    return rows.select("doc_id", "index", "name", "type", "nullable", "unique_values", F.slice(F.array_distinct(F.col("values.value")), 1, 5).alias("sample_values"), "min_length", "max_length", (F.floor(F.coalesce("mean", F.lit(0.0)) * 100 + 0.5) / 100).alias("avg_length"), F.when(number, F.col("low")).alias("min"), F.when(number, F.col("high")).alias("max"), "columns")
+    return docs.select("doc_id", "content").mapInArrow(_mapped_profile, _PROFILE)
 
 
 def csv(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
