@@ -4,12 +4,13 @@ import json
 import time
 
 import pyarrow as pa
+import pytest
 import yaml
 from pyspark.sql import functions as F
 
 from tessella import api, catalog, sinks
 from tessella.functions.docstrings import parse_doc_json
-from tessella.plans import nested
+from tessella.plans import config, nested
 from tessella.plans.code import outline as code
 
 FILES = "doc_id string, ext string, file_name string, content string"
@@ -35,7 +36,7 @@ def test_edges_are_counted_without_a_join(spark):
     counts = code.reference_counts(docs)
     assert sorted(tuple(r) for r in counts.collect()) == [("1", "py", 2), ("2", "TS", 1), ("3", "go", 0), ("4", None, 0), ("5", "py", 0)]
     query = catalog.QUERIES["edges_by_language"](spark, "/root/testdata/sf0.001")
-    assert "Join" not in _plan(query) and "hashpartitioning" not in _plan(query)
+    assert "Join" not in _plan(query) and "ENSURE_REQUIREMENTS" not in _plan(query)
 
 
 def test_toml_symbols_take_time_in_proportion():
@@ -78,3 +79,36 @@ def test_yaml_is_written_and_read_fast_and_alike(monkeypatch):
     began = time.process_time()
     assert not nested._YAML_PLAIN.fullmatch("- - - - x\n" * 2000 + "?")
     assert time.process_time() - began < 5
+
+
+def test_documents_are_shuffled_once_before_they_are_made(spark):
+    for name in ("fmt_csv", "tree_paths"):
+        plan = _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_csv_cells_are_not_shuffled(spark):
+    texts = ['n,q\n1,"a,b"\n2,"say ""x"""\n,\n', "a;b\n1;yes\n2;no\n3", "", None]
+    profile = config.csv_profile(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, content string"))
+    assert "Exchange" not in _plan(profile)
+    got = sorted((r.doc_id, r["index"], r.name, r.type, r.nullable, r.sample_values, r.min, r.max, r.columns) for r in profile.collect())
+    assert got == [("0", 0, "n", "number", True, ["1", "2"], 1.0, 2.0, 2), ("0", 1, "q", "string", True, ["a,b", 'say "x"'], None, None, 2), ("1", 0, "a", "number", False, ["1", "2", "3"], 1.0, 3.0, 2), ("1", 1, "b", "boolean", True, ["yes", "no"], None, None, 2)]
+
+
+@pytest.mark.parametrize("line", ['a,b', '"a,b",c', 'a "x"y",z', '"""",""', '"open,a', ' " pad " ,　q ', '"a""b""",""","'])
+def test_csv_fields_in_python_are_those_of_spark(spark, line):
+    assert config._fields(line, ",") == spark.createDataFrame([(line,)], "t string").select(config.csv_fields(F.col("t"), ",").alias("f")).first().f
+
+
+def test_types_are_counted_without_a_join(spark):
+    assert "Join" not in _plan(catalog.QUERIES["corpus_type_counts"](spark, "/root/testdata/sf0.001"))
+
+
+def test_overloads_are_grouped_within_a_document(spark):
+    text = "class C {\n  int A(int a) { }\n  int A() { }\n  void B() {}\n}\nclass D { int A() => 1; }\n"
+    docs = spark.createDataFrame([("1", "cs", None, text)], FILES)
+    nodes = code.code_outline(docs, grouped=True, include_comments=True)
+    assert "Exchange" not in _plan(nodes)
+    got = [(r.node_id, r.parent_id, r.title, "overloads" in (r.metadata or "") and json.loads(r.metadata)["overloads"]) for r in nodes.collect()]
+    assert got == [(0, None, "C", False), (1, 0, "A", 2), (2, 0, "B", False), (3, None, "D", False), (4, 3, "A", False)]
+    assert [r.title for r in code.code_outline(docs, 1, grouped=True).collect()] == ["C", "D"]
