@@ -51,6 +51,18 @@ def test_toml_symbols_take_time_in_proportion():
     assert seconds(4000) < 10 * seconds(1000)
 
 
+@pytest.mark.parametrize("text", [lambda n: "k = {x = 1}\n" * n, lambda n: "k = {" + ", ".join(["k = {x = 1}"] * n) + "}\n"])
+def test_inline_toml_tables_take_time_in_proportion(text):
+    def seconds(n):
+        began = time.process_time()
+        (out,) = code._mapped_toml(iter([pa.RecordBatch.from_pydict({"doc_id": ["1"], "content": [text(n)]})]))
+        assert out.num_rows - out.num_rows % 2 == 2 * n and out.column("name").to_pylist()[-2:] == ["k", "x"]
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(4000) < 10 * seconds(1000)
+
+
 def test_doc_comments_are_split_once(spark):
     docs = spark.createDataFrame([("S.\n:param int a: b\n:type c: d\n:param c: e\n:param a:\n:rtype: R\n:returns: x",)], "t string")
     for style in ("pydoc", "jsdoc", "javadoc"):
